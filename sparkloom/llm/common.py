@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,7 +29,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text_at: int = 1, most: int = 4 <<
     """The same rows in slices of at most ``most`` text bytes each (one longer text stands alone)."""
     for batch in batches:
         column = batch.column(text_at)
-        sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         begin = total = 0
         for i, size in enumerate(sizes):
             if i > begin and total + size > most:
