@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, languages, near_dups, sharding, token_counts
+from . import decontamination, languages, near_dups, sharding, token_counts, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = languages.fit(docs, ~languages.held_out())
     found = languages.identify(docs, model)
     return found.select("doc_id", languages.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~languages.held_out())
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", languages.held_out().alias("held_out"), "score", "predicted")
