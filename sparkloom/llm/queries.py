@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, languages, near_dups, sharding, token_counts, toxicity
+from . import decontamination, html_text, languages, near_dups, neighbours, sharding, token_counts, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~languages.held_out())
     found = toxicity.score(docs, model)
     return found.select("doc_id", languages.held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return neighbours.search(neighbours.build_index(vectors), vectors.where("vec_id % 100 = 0"))
