@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, languages, near_dups, neighbours, sharding, token_counts, toxicity
+from . import decontamination, html_text, languages, licences, near_dups, neighbours, pieces, sharding, token_counts, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,18 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages"), html_text.default_model(spark))
 
 
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.concat_ws(",", F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["licence"])))).alias("licences"),
+        F.size("matches").cast("long").alias("n_matches"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["coverage"])), F.lit(0.0)).alias("coverage"),
+        F.coalesce(F.array_min(F.transform("matches", lambda m: m["first_word"])), F.lit(-1).cast("long")).alias("first_word"),
+    )
+
+
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -78,3 +90,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     return neighbours.search(neighbours.build_index(vectors), vectors.where("vec_id % 100 = 0"))
+
+
+@query
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), k=3)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_hash"),
+        F.char_length("decoded").cast("long").alias("decoded_chars"),
+        F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"),
+        F.transform("samples", lambda s: F.size(s).cast("long")).alias("sample_pieces"),
+        F.transform("samples", lambda s: F.xxhash64(s)).alias("sample_hashes"),
+        "log_p",
+        "inclusion",
+    )
