@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -40,5 +41,15 @@ def pieces(batches: Iterator[pa.RecordBatch], text_at: int = 1, most: int = 4 <<
             yield batch.slice(begin)
 
 
+def kept_columns(df: DataFrame, keep: tuple[str, ...]) -> tuple[list[Column], str]:
+    """``keep`` under plain names that clash with nothing, and their schema as it follows other fields."""
+    kinds = dict(df.dtypes)
+    return [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], "".join(f", _k{i} {kinds[c]}" for i, c in enumerate(keep))
+
+
+def named_back(keep: tuple[str, ...]) -> list[Column]:
+    return [F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

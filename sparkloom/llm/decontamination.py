@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import kept_columns, named_back, pieces
 from .shingles import blank_bytes, hashed_words
 
 #: Words are runs of 0-9, a-z and anything beyond ASCII.
@@ -146,7 +146,7 @@ def _searching(handle, last: bool, id_type: pa.DataType) -> Callable[[Iterator[p
                 found[text] = [*(found[text] or []), {"item_id": block.ids[item], "doc_word": at, "item_word": start, "n_words": n}]
             matches = pa.array([f or [] for f in found], match)
             if not last:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), matches], names=["id", "text", "matches"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), matches, *batch.columns[3:]], names=["id", "text", "matches", *batch.schema.names[3:]])
                 continue
             n_words = np.diff(bounds)
             hits = []
@@ -159,7 +159,8 @@ def _searching(handle, last: bool, id_type: pa.DataType) -> Callable[[Iterator[p
                 else:
                     hits.append(0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(hits, pa.int64()), matches], names=["id", "n_words", "n_hit", "matches"]
+                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(hits, pa.int64()), matches, *batch.columns[3:]],
+                names=["id", "n_words", "n_hit", "matches", *batch.schema.names[3:]],
             )
 
     return run
@@ -174,8 +175,9 @@ def contamination(
     id_col: str = "doc_id",
     item_col: str = "item_id",
     text_col: str = "text",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``id_col, n_words, n_hit, items, matches, longest_match, contaminated`` for each document.
+    """``id_col, n_words, n_hit, items, matches, longest_match, contaminated`` and ``keep`` for each document.
 
     ``matches`` holds the longest verbatim matches with their places. A document is
     contaminated if at least one word in ``one_in`` lies inside a match.
@@ -187,7 +189,8 @@ def contamination(
     n_blocks = max(1, -(-total // block_bytes))
     match_type = f"array<struct<item_id: {item_type}, doc_word: long, item_word: long, n_words: long>>"
     id_type = dict(docs.dtypes)[id_col]
-    state = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(None).cast(match_type).alias("matches"))
+    more, kept = kept_columns(docs, keep)
+    state = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(None).cast(match_type).alias("matches"), *more)
     part = F.pmod(F.xxhash64(item_col, text_col), F.lit(n_blocks))
     for k in range(n_blocks):
         # One block is about block_bytes of text; the next is read only after this one is compiled.
@@ -195,13 +198,15 @@ def contamination(
         handle = spark.sparkContext.broadcast(Block(rows.column(0).to_pylist(), rows.column(1).to_pylist(), window))
         last = k == n_blocks - 1
         fields = "n_words long, n_hit long" if last else "text string"
-        state = state.mapInArrow(_searching(handle, last, arrow_type), f"id {id_type}, {fields}, matches {match_type}")
+        state = state.mapInArrow(_searching(handle, last, arrow_type), f"id {id_type}, {fields}, matches {match_type}{kept}")
+    own = [] if id_col in keep else [F.col("id").alias(id_col)]
     return state.select(
-        F.col("id").alias(id_col),
+        *own,
         "n_words",
         "n_hit",
         F.array_distinct(F.transform("matches", lambda m: m["item_id"])).alias("items"),
         "matches",
         F.coalesce(F.array_max(F.transform("matches", lambda m: m["n_words"])), F.lit(0).cast("long")).alias("longest_match"),
         ((F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        *named_back(keep),
     )

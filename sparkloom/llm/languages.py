@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import kept_columns, named_back, pieces
 from .shingles import mix64
 
 UNKNOWN = "und"
@@ -176,19 +176,22 @@ def _predicting(handle, slack: float) -> Callable[[Iterator[pa.RecordBatch]], It
                 batch = whole.slice(begin, 128)
                 names, score, rejected = model.predict(batch.column(1).to_pylist(), slack)
                 yield pa.RecordBatch.from_arrays(
-                    [*(c for i, c in enumerate(batch.columns) if i != 1), pa.array(names), pa.array(score), pa.array(rejected)],
-                    names=[*(f"_{i}" for i in range(batch.num_columns) if i != 1), "lang_pred", "score", "rejected"],
+                    [batch.column(0), pa.array(names), pa.array(score), pa.array(rejected), *batch.columns[2:]],
+                    names=["id", "lang_pred", "score", "rejected", *batch.schema.names[2:]],
                 )
 
     return run
 
 
-def identify(docs: DataFrame, model: Centroids, slack: float = 0.15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, lang_pred, score, rejected`` for each row; one narrow pass over whole texts."""
+def identify(docs: DataFrame, model: Centroids, slack: float = 0.15, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col, lang_pred, score, rejected`` and the columns ``keep`` for each row; one narrow pass over whole texts."""
     handle = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)[id_col]
-    found = docs.select(id_col, text_col).mapInArrow(_predicting(handle, slack), f"_0 {kind}, lang_pred string, score double, rejected boolean")
-    return found.withColumnRenamed("_0", id_col)
+    more, fields = kept_columns(docs, keep)
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *more)
+    found = slim.mapInArrow(_predicting(handle, slack), f"id {kind}, lang_pred string, score double, rejected boolean{fields}")
+    own = [] if id_col in keep else [F.col("id").alias(id_col)]
+    return found.select(*own, "lang_pred", "score", "rejected", *named_back(keep))
 
 
 def held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2) -> Column:

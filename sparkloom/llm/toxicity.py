@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces
+from .common import cut, kept_columns, named_back, pieces
 from .decontamination import WORD_BREAKS
 from .shingles import BYTE_BASE, BYTE_VALUES, _powers, mix64
 
@@ -350,14 +350,19 @@ def _scoring(handle) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1, 1 << 20):
             scores = handle.value.scores(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), *batch.columns[2:]], names=["id", "score", *batch.schema.names[2:]])
 
     return run
 
 
-def score(docs: DataFrame, model: Classifier, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, score, predicted`` for each row; one narrow pass over whole texts."""
+def score(
+    docs: DataFrame, model: Classifier, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """``id_col, score, predicted`` and the columns ``keep`` for each row; one narrow pass over whole texts."""
     handle = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)[id_col]
-    found = docs.select(id_col, text_col).mapInArrow(_scoring(handle), f"id {kind}, score double")
-    return found.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    more, fields = kept_columns(docs, keep)
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *more)
+    found = slim.mapInArrow(_scoring(handle), f"id {kind}, score double{fields}")
+    own = [] if id_col in keep else [F.col("id").alias(id_col)]
+    return found.select(*own, "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *named_back(keep))
