@@ -8,11 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, languages, licences, near_dups, neighbours, pieces, sharding, token_counts, toxicity
+from . import decontamination, html_text, languages, licences, near_dups, neighbours, oracles, pieces, sharding, token_counts, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op5_sharding": oracles.SHARDING,
+    "op8_minhash_near_dedup": oracles.NEAR_DEDUP,
+}
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -66,7 +70,6 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.size("items").cast("long").alias("n_items"),
         F.sha2(names.cast("binary"), 256).alias("items_sha256"),
         "contaminated",
-        "longest_match",
     )
 
 
