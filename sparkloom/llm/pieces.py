@@ -461,7 +461,7 @@ class Samples:
 def _encoding(path: str, k: int, theta: float, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(path, theta)
-        for batch in slices(batches, 1, 2 << 20):
+        for batch in slices(batches, 1, 256 << 10):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             best = known.model.encode(texts, num_threads=1)
             decoded = known.model.decode(best, num_threads=1)
