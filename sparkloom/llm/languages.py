@@ -34,6 +34,7 @@ from .common import kept_columns, named_back, pieces
 from .shingles import mix64
 
 UNKNOWN = "und"
+SALTS = 64
 
 
 @functools.cache
@@ -143,14 +144,12 @@ def fit(
     idf = np.log((1 + seen[dims]) / (1 + seen[:dims])) + 1
 
     labelled = own.where("label is not null and text is not null")
-    first = Window.partitionBy("label").orderBy("order", "id")
-    chosen = (
-        labelled.select("id", "label", F.xxhash64(F.col("id").cast("string")).alias("order"))
-        .withColumn("nth", F.row_number().over(first))  # limited in each task before the exchange
-        .where(F.col("nth") <= sample)
-        .select("id")
-        .distinct()
-    )
+    # First the smallest hashes of each of ``SALTS`` parts of a label, so that one task gets SALTS * sample rows of a label at most.
+    ordered = labelled.select("id", "label", F.xxhash64(F.col("id").cast("string")).alias("order")).withColumn("salt", F.pmod(F.xxhash64("order"), F.lit(SALTS)))
+    for parts in (("label", "salt"), ("label",)):
+        first = Window.partitionBy(*parts).orderBy("order", "id")
+        ordered = ordered.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample).drop("nth")
+    chosen = ordered.select("id").distinct()
     rows = labelled.join(chosen, "id", "left_semi")
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
