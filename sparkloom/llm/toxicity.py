@@ -295,14 +295,16 @@ def fit(
 ) -> Classifier:
     """Fits on labels of rows for which ``learnable`` (over ``id_col``) holds; the model has a fixed size."""
     context = docs.sparkSession.sparkContext
-    # The ids of the sample, at most ``sample`` small rows: the limit of a sort keeps that many in each task.
-    chosen = (
-        labels.where(learnable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-        .groupBy(F.col(id_col).alias("id"))
+    usable = labels.where(learnable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    labelled = (
+        usable.groupBy(F.col(id_col).alias("id"))
         .agg(F.max(F.col(label_col).cast("int")).alias("label"))
-        .orderBy(F.xxhash64(F.col("id").cast("string")), "id")
-        .limit(sample)
+        .withColumn("order", F.xxhash64(F.col("id").cast("string")))
     )
+    # Hashes are even, so those under this bound hold the sample and little more; else each task would send ``sample`` rows on.
+    share = min(1.0, (1.5 * sample + 100) / max(usable.count(), 1))
+    bound = int((1 << 63) * (2 * share - 1)) if share < 1 else (1 << 63) - 1
+    chosen = labelled.where(F.col("order") <= bound).orderBy("order", "id").limit(sample).select("id", "label")
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = cut(slim.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("id", "text", "label"))
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
