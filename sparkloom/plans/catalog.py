@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.sources.tables import table
+from sparkloom.functions import vectors
+from sparkloom.operators import aggregates, joins
+from sparkloom.plans.shared_sql import TEXTS
+from sparkloom.sources.tables import stream, table
+from sparkloom.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,6 +33,16 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _shared(text: str) -> Query:
+    names = sorted(set(re.findall(r"\{(\w+)\}", text)))
+    return lambda spark, sf_dir: spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})
+
+
+for _name, _text in TEXTS.items():
+    QUERIES[_name] = _shared(_text)
+    ORACLE[_name] = re.sub(r"\{(\w+)\}", r"\1", _text)
+
+
 @query("""
 SELECT r_name, count(*) AS n_lines, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
@@ -45,3 +62,149 @@ def revenue_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"),
         )
     )
+
+
+@query("""
+WITH p AS (SELECT * FROM events WHERE event_type = 'purchase'), v AS (SELECT user_id, ts AS view_ts, value AS view_value FROM events WHERE event_type = 'view')
+SELECT event_id, p.user_id, ts, view_ts, view_value FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.view_ts""")
+def last_view_before_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    bought = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    seen = events.where("event_type = 'view'").select("user_id", F.col("ts").alias("view_ts"), F.col("value").alias("view_value"))
+    return joins.as_of_join(bought, seen, "user_id", "ts", "view_ts", ["view_ts", "view_value"])
+
+
+@query("""
+WITH bands AS (SELECT p_partkey, p_retailprice AS low, p_retailprice + 5 AS high FROM part WHERE p_size <= 5)
+SELECT p_partkey, count(*) AS n FROM customer JOIN bands ON c_acctbal >= low AND c_acctbal < high GROUP BY p_partkey""")
+def balances_in_price_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bands = table(spark, sf_dir, "part").where("p_size <= 5").select("p_partkey", F.col("p_retailprice").alias("low"), (F.col("p_retailprice") + 5).alias("high"))
+    found = joins.range_join(table(spark, sf_dir, "customer").select("c_acctbal"), bands, "c_acctbal", "low", "high", 5.0)
+    return found.groupBy("p_partkey").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
+def salted_orders_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_totalprice")
+    placed = joins.salted_join(orders, table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    return (
+        placed.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .groupBy("n_name").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    )
+
+
+@query("""
+SELECT o_orderpriority, o_orderkey, o_totalprice FROM orders
+QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) <= 10""")
+def largest_orders_of_each_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice")
+    return aggregates.top_k(rows, ["o_orderpriority"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 10)
+
+
+@query("SELECT l_returnflag, count(DISTINCT l_orderkey) AS n_orders FROM lineitem GROUP BY l_returnflag")
+def orders_of_each_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.exact_distinct(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_orderkey", "n_orders")
+
+
+@query("""
+WITH marked AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+numbered AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM marked)
+SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM numbered GROUP BY user_id, s""")
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.sessions(table(spark, sf_dir, "events"), "user_id", "ts", "30 minutes")
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.window("ts", "1 day")["start"].alias("day")
+    return table(spark, sf_dir, "events").groupBy(day, "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("""
+SELECT event_type, count(*) FILTER (WHERE dayofweek(ts) = 0) AS sunday, count(*) FILTER (WHERE dayofweek(ts) = 1) AS monday, count(*) FILTER (WHERE dayofweek(ts) = 6) AS saturday
+FROM events GROUP BY event_type""")
+def weekday_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = table(spark, sf_dir, "events").select("event_type", F.dayofweek("ts").alias("d"))
+    counts = days.groupBy("event_type").pivot("d", [1, 2, 7]).count()
+    return counts.select("event_type", *[F.coalesce(f"`{k}`", F.lit(0).cast("long")).alias(n) for k, n in ((1, "sunday"), (2, "monday"), (7, "saturday"))])
+
+
+@query("SELECT s_suppkey, 'balance' AS name, s_acctbal AS value FROM supplier UNION ALL SELECT s_suppkey, 'nation', CAST(s_nationkey AS DOUBLE) FROM supplier")
+def supplier_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("balance"), F.col("s_nationkey").cast("double").alias("nation"))
+    return wide.unpivot("s_suppkey", ["balance", "nation"], "name", "value")
+
+
+@query("SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
+def json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS word FROM part) WHERE word <> '' GROUP BY word""")
+def words_of_part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word"))
+    return words.where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT conv_id, count(*) AS n_turns, string_agg(role, '>' ORDER BY turn) AS roles, md5(string_agg(text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id""")
+def conversations_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    whole = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), turns.alias("t"))
+    return whole.select("conv_id", "n_turns", F.concat_ws(">", "t.role").alias("roles"), F.md5(F.concat_ws("\n", "t.text")).alias("digest"))
+
+
+@query("""
+WITH c AS (SELECT label, unnest(range(1, 65)) AS i, unnest(embedding) AS x FROM embeddings), m AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS x FROM c GROUP BY label, i)
+SELECT label, round(sqrt(sum(x * x)), 6) AS norm, count(*) AS dims FROM m GROUP BY label""")
+def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    means = parts.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return means.groupBy("label").agg(F.round(F.sqrt(F.sum(F.col("x") * F.col("x"))), 6).alias("norm"), F.count("*").alias("dims"))
+
+
+@query("""
+SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 6) AS square,
+  round(sqrt(list_sum(list_transform(embedding, lambda x: (CAST(x AS DOUBLE) - 1) * (CAST(x AS DOUBLE) - 1)))), 6) AS to_ones FROM embeddings""")
+def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ones = F.transform("embedding", lambda x: F.lit(1.0))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.dot("embedding", "embedding"), 6).alias("square"), F.round(vectors.l2_distance("embedding", ones), 6).alias("to_ones"))
+
+
+def _geometric_mean(values: pd.Series) -> float:
+    return float(np.exp(np.log(values).mean()))
+
+
+@query("SELECT o_orderstatus, round(exp(avg(ln(o_totalprice))), 4) AS mean FROM orders GROUP BY o_orderstatus")
+def geometric_mean_udaf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mean = F.pandas_udf(_geometric_mean, "double")
+    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.round(mean("o_totalprice"), 4).alias("mean"))
+
+
+@query("""
+SELECT date_trunc('day', ts) AS started, event_type, count(*) AS n FROM events GROUP BY 1, 2
+HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def streamed_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream's closed windows; those the watermark has not passed stay open."""
+    events = windows.event_time(stream(spark, sf_dir, "events"), "ts", "1 hour")
+    return windows.run_to_files(windows.tumbling(events, "ts", "1 day", ["event_type"]))
+
+
+@query("SELECT user_id, event_type FROM events GROUP BY user_id, event_type")
+def streamed_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = windows.event_time(stream(spark, sf_dir, "events"), "ts", "60 days").select("user_id", "event_type", "ts")
+    return windows.run_to_files(windows.first_seen(events, ["user_id", "event_type"])).select("user_id", "event_type")
+
+
+@query("""
+SELECT a.event_id AS click_id, b.event_id AS purchase_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR
+WHERE a.event_type = 'click' AND b.event_type = 'purchase'""")
+def streamed_click_to_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def side(kind: str, prefix: str) -> DataFrame:
+        rows = stream(spark, sf_dir, "events").where(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(f"{prefix}_id"), F.col("ts").alias(f"{prefix}_ts"))
+        return windows.event_time(rows, f"{prefix}_ts", "1 hour")
+
+    pairs = windows.interval_join(side("click", "click"), side("purchase", "purchase"), "user_id", "click_ts", "purchase_ts", "6 hours")
+    return windows.run_to_files(pairs).select("click_id", "purchase_id")

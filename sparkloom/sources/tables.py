@@ -1,7 +1,33 @@
-"""Reading the parquet tables of a scale-factor folder."""
+"""Reading and writing tables: parquet, ORC, JSON lines, CSV and text, in batches or as streams."""
+
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+FORMATS = ("parquet", "orc", "json", "csv", "text")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def read(spark: SparkSession, path: str, kind: str, schema: str | None = None, **options: str) -> DataFrame:
+    """A table of one of FORMATS. CSV and JSON should be given a schema: inferring one reads all data twice."""
+    if kind not in FORMATS:
+        raise ValueError(f"one of {FORMATS} is needed")
+    reader = spark.read.options(**({"header": "true"} if kind == "csv" else {}), **options)
+    return (reader.schema(schema) if schema else reader).format(kind).load(path)
+
+
+def write(rows: DataFrame, path: str, kind: str, partition_by: tuple[str, ...] = (), mode: str = "error", **options: str) -> None:
+    """Writes ``rows``; rows of one partition value are brought together first, split where there are very many."""
+    if kind not in FORMATS:
+        raise ValueError(f"one of {FORMATS} is needed")
+    rows = rows.hint("rebalance", *partition_by) if partition_by else rows
+    rows.write.options(**({"header": "true"} if kind == "csv" else {}), **options).partitionBy(*partition_by).mode(mode).format(kind).save(path)
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The files of a table as a stream, with the schema of what is there."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("recursiveFileLookup", "false").parquet(sf_dir)
