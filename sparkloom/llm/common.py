@@ -53,3 +53,13 @@ def named_back(keep: tuple[str, ...]) -> list[Column]:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def packed(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns ``used`` and the whole row as one column ``_row``, so that no other name can clash."""
+    return docs.select(*used, F.struct(*[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(docs.columns)]).alias("_row"))
+
+
+def unpacked(found: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows that ``packed`` put away, under their own names."""
+    return found.select(*[F.col(f"_row.f{i}").alias(c) for i, c in enumerate(columns)])

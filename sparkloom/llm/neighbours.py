@@ -7,7 +7,7 @@ the neighbours of one node with each other, and offers each of them the nearest
 others; the ``degree`` nearest stay. All of it is Spark joins and exchanges; a node's
 list is bounded by twice the degree, as the method has it.
 
-Search. Every query keeps the ``width`` nearest nodes found. In each step it expands
+Search. Every query begins at its own node and at ``entries`` fixed ones, and keeps the ``width`` nearest nodes found. In each step it expands
 all that are not yet expanded, and it stops when none is left. Pairs of query and
 node are exchanged, not vectors; the query vectors are sent to all tasks in blocks
 of bounded size. Found nodes are opened into their equal vectors at the end, and
@@ -233,6 +233,7 @@ def search(
     k: int = 10,
     width: int = 400,
     steps: int = 30,
+    entries: int = 32,
     block_rows: int = 50_000,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
@@ -246,22 +247,22 @@ def search(
     found = None
     for b in range(n_blocks):
         part = asked.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b) if n_blocks > 1 else asked
-        answers = _search_block(index, part, k, width, steps)
+        answers = _search_block(index, part, k, width, steps, entries)
         found = answers if found is None else found.union(answers)
     return found
 
 
-def _search_block(index: Index, asked: DataFrame, k: int, width: int, steps: int) -> DataFrame:
+def _search_block(index: Index, asked: DataFrame, k: int, width: int, steps: int, entries: int) -> DataFrame:
     spark = asked.sparkSession
     rows = asked.toPandas().sort_values("id")  # at most block_rows vectors
     vectors = np.stack(rows["v"].tolist()) if len(rows) else np.zeros((0, 0))
     handle = spark.sparkContext.broadcast((rows["id"].to_numpy(np.int64), vectors))
 
-    # A query starts at its own node, or at a few fixed ones if its vector is not indexed.
-    own = asked.join(index.nodes, "v", "left").select(F.col("id").alias("q"), "node")
-    gates = index.nodes.orderBy(F.xxhash64("node"), "node").limit(4).select(F.col("node").alias("gate"))
-    strangers = own.where("node is null").select("q").crossJoin(F.broadcast(gates)).select("q", F.col("gate").alias("node"))
-    start = own.where("node is not null").union(strangers)
+    # A query starts at its own node, if it is indexed, and at a fixed number of entry nodes, the same for all.
+    own = asked.join(index.nodes, "v").select(F.col("id").alias("q"), "node")
+    gates = [r["node"] for r in index.nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(entries).collect()]
+    entry = asked.select(F.col("id").alias("q"), F.explode(F.lit(gates).cast("array<long>")).alias("node"))
+    start = own.union(entry).distinct()
     far = F.lit(float("inf"))
     beam = cut(
         start.withColumn("worst", far).join(index.nodes, "node").select("q", "node", "worst", "v")

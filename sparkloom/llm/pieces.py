@@ -18,7 +18,7 @@ and the place, so results don't depend on batches or tasks.
 
 Defined cases: null and empty texts have no pieces, and one empty segmentation of
 probability 1; texts with fewer than k segmentations give all of them, each with
-score 1; equal keys with equal texts give equal samples; an empty table gives no
+score 1; a score below the range of doubles is 0; equal keys with equal texts give equal samples; an empty table gives no
 rows; further columns are ignored.
 """
 
