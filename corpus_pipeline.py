@@ -11,21 +11,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import decontamination, languages, near_dups, pieces, toxicity
-from sparkloom.llm.common import cut, read
+from sparkloom.llm.common import cut, packed, read, unpacked
 
 
 def identified_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and texts far from every language's centroids."""
     model = languages.fit(docs, ~languages.held_out())
-    found = languages.identify(docs, model, keep=tuple(docs.columns))
-    return found.where("not rejected").select(*docs.columns)
+    found = languages.identify(packed(docs, "doc_id", "text"), model, keep=("_row",))
+    return unpacked(found.where("not rejected"), docs.columns)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that the classifier scores at 0.3 or more."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~languages.held_out())
-    found = toxicity.score(docs, model, keep=tuple(docs.columns))
-    return found.where("predicted = 0").select(*docs.columns)
+    found = toxicity.score(packed(docs, "doc_id", "text"), model, keep=("_row",))
+    return unpacked(found.where("predicted = 0"), docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def not_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which one word in twenty or more lies in benchmark passages."""
-    found = decontamination.contamination(docs, read(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return found.where("not contaminated").select(*docs.columns)
+    found = decontamination.contamination(packed(docs, "doc_id", "text"), read(spark, sf_dir, "benchmark"), keep=("_row",))
+    return unpacked(found.where("not contaminated"), docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
