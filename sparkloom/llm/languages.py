@@ -150,7 +150,8 @@ def fit(
         first = Window.partitionBy(*parts).orderBy("order", "id")
         ordered = ordered.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample).drop("nth")
     chosen = ordered.select("id").distinct()
-    rows = labelled.join(chosen, "id", "left_semi")
+    # At most ``sample`` ids a language are sent to all tasks, so that the corpus itself isn't exchanged.
+    rows = labelled.join(F.broadcast(chosen), "id", "left_semi")
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
         found = vectors(group.sort_values("id")["text"].tolist()[:sample], idf)
