@@ -31,7 +31,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of near copies (five-word shingles, similarity 0.8)."""
     found = near_dups.near_duplicates(docs, width=5, percent=80)
-    gone = found.where("not kept").select("doc_id").distinct()
+    # Cut, so that the exchanges of the search can be given up before the texts are exchanged.
+    gone = cut(found.where("not kept").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
