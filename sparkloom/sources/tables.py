@@ -28,6 +28,10 @@ def write(rows: DataFrame, path: str, kind: str, partition_by: tuple[str, ...] =
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The files of a table as a stream, with the schema of what is there."""
+    """The files of a table as a stream, with the schema of what is there.
+
+    The table is one file or a directory of part files, plain or by partition values.
+    The path is a pattern that matches only its own name, as Spark takes a file or a directory there.
+    """
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("recursiveFileLookup", "false").parquet(sf_dir)
+    return spark.readStream.schema(schema).option("basePath", sf_dir).parquet(f"{sf_dir}/{name}.parque[t]")

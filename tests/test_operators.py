@@ -63,3 +63,15 @@ def test_late_events_are_dropped(spark, tmp_path):
     events = windows.event_time(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), "ts", "1 hour")
     found = windows.run_to_files(windows.tumbling(events, "ts", "1 day", ["k"]))
     assert {(r.started, r.k, r.n) for r in found.collect()} == {(day(1), "a", 1), (day(5), "a", 2)}
+
+
+def test_streams_read_files_and_directories(spark, tmp_path):
+    rows = spark.range(100).select("id", (F.col("id") % 3).alias("day"))
+    rows.repartition(4).write.parquet(f"{tmp_path}/parts.parquet")
+    rows.write.partitionBy("day").parquet(f"{tmp_path}/days.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/one")
+    next((tmp_path / "one").glob("part-*")).rename(tmp_path / "file.parquet")
+    rows.limit(7).write.parquet(f"{tmp_path}/file.parquet.old")
+    for name in ("parts", "days", "file"):
+        found = windows.run_to_files(tables.stream(spark, str(tmp_path), name)).select("id", "day")
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, tables.table(spark, str(tmp_path), name).select("id", "day").collect())) == [(i, i % 3) for i in range(100)], name
