@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from sparkloom.llm import decontamination, html_text, licences, near_dups, pieces, queries, token_counts  # noqa: E402
+from sparkloom.llm import decontamination, graph, html_text, licences, near_dups, pieces, queries, token_counts  # noqa: E402
 from sparkloom.llm.labelled_pages import labelled_pages  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -93,6 +93,13 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert [found[i] for i in range(len(texts))] == plain_groups(texts, 5)
 
 
+def test_long_chains_are_one_component(spark):
+    order = np.random.default_rng(1).permutation(300).tolist()
+    edges = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
+    found = graph.connected_components(edges).collect()
+    assert {r.node for r in found} == set(order) and {r.component for r in found} == {0}
+
+
 def test_contamination_in_several_blocks_equals_one(spark):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     one = decontamination.contamination(docs, items).select("doc_id", "n_words", "n_hit", "longest_match")
