@@ -1,9 +1,10 @@
 """SentencePiece encoding, decoding, and sampled segmentations without replacement.
 
 Encoding and decoding are the library's. For sampling, a text's lattice holds every
-way to write it in vocabulary pieces (bytes for characters without a piece). No piece
-crosses the start of a word, so the lattice is a chain of word lattices, each built
-once for the words of a batch. A segmentation's probability is in proportion to the
+way to write it in vocabulary pieces (bytes for characters without a piece). A word
+here is a run of space marks and what follows up to the next run. A model with a piece
+that crosses the start of a word is refused, so the lattice is a chain of word lattices,
+each built once for the words of a batch. A segmentation's probability is in proportion to the
 product of its pieces' weights, (rank + 2) ** -theta.
 
 Gumbel top-k: one Gumbel variable for each segmentation is added to its log
@@ -52,9 +53,11 @@ class Vocabulary:
         usable = [
             i
             for i in range(model.get_piece_size())
-            if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)) and SPACE not in model.id_to_piece(i)[1:]
+            if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))
         ]
         words = [model.id_to_piece(i) for i in usable]
+        if any(SPACE in w.lstrip(SPACE) for w in words):
+            raise ValueError("pieces with a space mark after another character are not supported")
         rank = np.minimum(-np.array([model.get_score(i) for i in usable]), model.get_piece_size())  # a lone space mark has no rank of its own
         self.longest = max(map(len, words))
         hashes = np.array([_hash(w) for w in words], np.uint64)
@@ -88,7 +91,11 @@ class Lattice:
         lines = [SPACE + t.replace(" ", SPACE) for t in texts]
         points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
         at = np.cumsum([0] + [len(line) for line in lines])
-        begins = np.flatnonzero(points == ord(SPACE))
+        mark = points == ord(SPACE)
+        begin_ = mark.copy()
+        begin_[1:] &= ~mark[:-1]
+        begin_[at[:-1]] = True
+        begins = np.flatnonzero(begin_)
         sizes = np.diff(np.append(begins, len(points)))
         powers = _powers(BASE, len(points) + 1)
         inverse = _powers(pow(BASE, -1, 1 << 64), len(points) + 1)

@@ -223,3 +223,17 @@ def test_samples_follow_their_probabilities():
     every = pieces.Samples(pieces.Lattice(["ab c"], known), keys[:1], 40)
     ways = [tuple(every.ids(r)[0].tolist()) for r in range(40) if every.drawn[r, 0]]
     assert len(set(ways)) == len(ways) and abs(sum(math.exp(every.log_p[r, 0]) for r in range(len(ways))) - 1) < 1e-6
+
+
+@pytest.mark.parametrize("text", ["a   b", "  x", "    if x:\n        return  y", "   ", "a "])
+def test_library_segmentation_of_spaces_is_a_way(text):
+    """The library's ids are one way through the lattice, and the text's only words are runs of spaces with what follows."""
+    known = pieces.vocabulary(PIECES, 1.0)
+    lattice, want = pieces.Lattice(["b", text, "  c"], known), known.model.encode(text)
+    log_p, at = 0.0, 0
+    for node in lattice.starts[lattice.bounds[1] : lattice.bounds[2]].tolist():
+        while node:
+            edges = range(lattice.first[node], lattice.first[node + 1])
+            edge = next(e for e in edges if at < len(want) and lattice.pool[lattice.offset[e] : lattice.offset[e] + lattice.count[e]].tolist() == want[at : at + lattice.count[e]])
+            log_p, at, node = log_p + lattice.log_p[edge], at + lattice.count[edge], int(lattice.target[edge])
+    assert at == len(want) and log_p > -math.inf
