@@ -1,11 +1,13 @@
 """SentencePiece encoding, decoding, and sampled segmentations without replacement.
 
-Encoding and decoding are the library's. For sampling, a text's lattice holds every
-way to write it in vocabulary pieces (bytes for characters without a piece). A word
-here is a run of space marks and what follows up to the next run. A model with a piece
-that crosses the start of a word is refused, so the lattice is a chain of word lattices,
-each built once for the words of a batch. A segmentation's probability is in proportion to the
-product of its pieces' weights, (rank + 2) ** -theta.
+A word here is a run of space marks and what follows up to the next run. A model with
+a piece that crosses the start of a word is refused, so a text's encoding is that of its
+words in order: the library encodes each distinct word once and decodes whole texts.
+For sampling, a text's lattice holds every way to write it in vocabulary pieces (bytes
+for characters without a piece); it is a chain of word lattices, which a task keeps from
+slice to slice in a store of bounded size. A segmentation's probability is in proportion
+to the product of its pieces' weights, (rank + 2) ** -theta. These weights are chosen
+here, as the given model merges pairs (BPE) and holds ranks instead of probabilities.
 
 Gumbel top-k: one Gumbel variable for each segmentation is added to its log
 probability and the k largest sums are taken, without listing segmentations. The
@@ -26,6 +28,7 @@ rows; further columns are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
@@ -42,6 +45,9 @@ from .shingles import _powers, mix64
 SPACE = "▁"
 BASE = 0xD1342543DE82EF95
 FILTER_BITS = 20
+MASK = np.uint64((1 << FILTER_BITS) - 1)
+#: Words kept from slice to slice have so many characters together, at about 100 bytes each.
+KEPT_CHARS = 1 << 20
 
 
 class Vocabulary:
@@ -66,12 +72,29 @@ class Vocabulary:
         self.weights = -theta * np.log(rank[order] + 2)
         self.byte_weight = -theta * np.log(len(usable) + 2.0)
         self.first_byte = model.piece_to_id("<0x00>")
-        mask = (1 << FILTER_BITS) - 1
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[self.hashes & np.uint64(mask)] = True
+        #: What a space mark without anything after it adds to a text's pieces.
+        self.lone_mark = model.encode("a ")[len(model.encode("a")) :]
+        if model.normalize("ﬁ ½") != SPACE + "ﬁ" + SPACE + "½":
+            raise ValueError("models that change characters before they split are not supported")
+        # One place for each low part of a hash: the only piece there, or a mark that there are several.
+        low = (self.hashes & MASK).astype(np.int64)
+        self.table = np.full(1 << FILTER_BITS, -1, np.int32)
+        self.table[low] = np.arange(len(low))
+        self.table[np.flatnonzero(np.bincount(low, minlength=1 << FILTER_BITS) > 1)] = -2
         #: Whether a longer piece may begin with the characters of this hash.
         self.more = np.zeros(1 << FILTER_BITS, bool)
-        self.more[[_hash(head) & mask for head in {w[:n] for w in words for n in range(1, len(w))}]] = True
+        self.more[[_hash(head) & int(MASK) for head in {w[:n] for w in words for n in range(1, len(w))}]] = True
+
+    def look_up(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which hashes are pieces, the pieces' numbers, and which may go on to a longer piece."""
+        low = (found & MASK).astype(np.int64)
+        index = self.table[low]
+        fit = np.flatnonzero(index != -1)
+        index = index[fit].astype(np.int64)
+        several = np.flatnonzero(index == -2)
+        index[several] = np.minimum(np.searchsorted(self.hashes, found[fit[several]]), len(self.hashes) - 1)
+        same = self.hashes[index] == found[fit]
+        return fit[same], index[same], self.more[low]
 
 
 def _hash(word: str) -> int:
@@ -79,18 +102,76 @@ def _hash(word: str) -> int:
     return int(mix64((mix64(points) * _powers(BASE, len(points))).sum(keepdims=True) + np.uint64(len(points)))[0])
 
 
+def _spread(values: np.ndarray, at: np.ndarray, n: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``n`` values from each place ``at``, laid end to end, and the bounds of groups of runs in them."""
+    ends = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
+    return values[np.repeat(at - ends[:-1], n) + np.arange(int(ends[-1]))], ends[bounds]
+
+
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str, theta: float) -> Vocabulary:
     return Vocabulary(path, theta)
 
 
+class Store:
+    """Word lattices by the hash of the word, kept from slice to slice up to a bounded number of characters.
+
+    Nodes are places in words, edges are pieces; the ends of all words are node 0. Arrays
+    grow at their ends, so a word's numbers stay as long as the store does.
+    """
+
+    NODES = {"first": np.int64, "log_plain": float, "log_left": float, "log_others": float, "p_first": float}
+    EDGES = {"target": np.int32, "log_p": float, "count": np.int32, "offset": np.int32}
+    WORDS = {"start": np.int64, "code_at": np.int64, "code_n": np.int32, "plain_at": np.int64, "plain_n": np.int32}
+    IDS = {"pool": np.int32, "codes": np.int32, "plains": np.int32}
+
+    def __init__(self):
+        self.arrays = {name: np.zeros(0, kind) for kinds in (self.NODES, self.EDGES, self.WORDS, self.IDS) for name, kind in kinds.items()}
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets all words but keeps the arrays' room. Lattices made before may not be used after."""
+        self.hashes, self.numbers, self.chars = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        self.sizes = dict.fromkeys(self.arrays, 0)
+        # Node 0, and the bound of its edges.
+        for name, value in (("first", [0, 0]), ("log_plain", [0.0]), ("log_left", [-np.inf]), ("log_others", [-np.inf]), ("p_first", [1.0])):
+            self.append(name, np.array(value))
+
+    def append(self, name: str, values: np.ndarray, drop: int = 0) -> int:
+        """Puts values at the end of an array, over its last ``drop`` ones; where they begin."""
+        at, held = self.sizes[name] - drop, self.arrays[name]
+        if at + len(values) > len(held):
+            self.arrays[name] = np.empty(max(at + len(values), len(held) + (len(held) >> 1)), held.dtype)
+            self.arrays[name][:at] = held[:at]
+        self.arrays[name][at : at + len(values)] = values
+        self.sizes[name] = at + len(values)
+        return at
+
+    def get(self, name: str) -> np.ndarray:
+        return self.arrays[name][: self.sizes[name]]
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 where it is not kept."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.numbers[at], -1)
+
+    def name(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers for further words, whose hashes are sorted."""
+        numbers = len(self.hashes) + np.arange(len(hashes))
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.numbers = np.insert(self.hashes, at, hashes), np.insert(self.numbers, at, numbers)
+        return numbers
+
+
 class Lattice:
     """The word lattices of a batch of texts. Nodes are places in distinct words, edges are pieces."""
 
-    def __init__(self, texts: list[str], known: Vocabulary):
-        lines = [SPACE + t.replace(" ", SPACE) for t in texts]
-        points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
-        at = np.cumsum([0] + [len(line) for line in lines])
+    def __init__(self, texts: list[str], known: Vocabulary, store: Store | None = None):
+        line = "".join([SPACE + t.replace(" ", SPACE) for t in texts])
+        points = np.frombuffer(line.encode("utf-32-le"), np.uint32)
+        at = np.cumsum([0] + [len(t) + 1 for t in texts])
         mark = points == ord(SPACE)
         begin_ = mark.copy()
         begin_[1:] &= ~mark[:-1]
@@ -102,14 +183,28 @@ class Lattice:
         sums = np.zeros(len(points) + 1, np.uint64)
         np.cumsum(mix64(points.astype(np.uint64)) * powers[:-1], out=sums[1:])
         words = mix64((sums[begins + sizes] - sums[begins]) * inverse[begins] + sizes.astype(np.uint64))
-        _, first, which = np.unique(words, return_index=True, return_inverse=True)
-        #: Words of each text, in order: the lattice node each begins at.
+        distinct, first, which = np.unique(words, return_index=True, return_inverse=True)
+        #: Words of each text, in order: their numbers and the lattice node each begins at.
         self.bounds = np.searchsorted(begins, at)
-        size = sizes[first]
+        self.store = store = Store() if store is None else store
+        number = store.find(distinct)
+        new = number < 0
+        if new.any():
+            first = first[new]
+            number[new] = store.name(distinct[new])
+            self._build(line, points, sums, inverse, begins[first], sizes[first], known)
+        self.words = number[which.ravel()]
+        self.starts = store.get("start")[self.words]
+        for name in (*Store.NODES, *Store.EDGES, "pool"):
+            setattr(self, name, store.get(name))
+
+    def _build(self, line: str, points: np.ndarray, sums: np.ndarray, inverse: np.ndarray, begins: np.ndarray, size: np.ndarray, known: Vocabulary) -> None:
+        """Adds words of a batch, given by where they begin and their sizes, to the store."""
+        store = self.store
         chars = int(size.sum())
         begin = np.cumsum(size) - size
         offset = np.arange(chars) - np.repeat(begin, size)
-        place = np.repeat(begins[first], size) + offset  # of each character in the text
+        place = np.repeat(begins, size) + offset  # of each character in the text
         left = np.repeat(size, size) - offset  # characters to the end of the word
         # Nodes by distance from the end, so that each level stands together; the ends are one node, 0.
         longest = int(size.max(initial=0))
@@ -119,27 +214,21 @@ class Lattice:
         node[by], node[chars] = np.arange(1, n_nodes), 0
         after = np.arange(1, chars + 1)
         after[begin + size - 1] = chars
-        self.starts = node[begin][which.ravel()]
+        starts = node[begin]
         levels = np.concatenate(([1], 1 + np.cumsum(np.bincount(left, minlength=longest + 1)[1:])))
         sources, targets, weights, ids = [], [], [], []
-        mask = np.uint64((1 << FILTER_BITS) - 1)
         alive = np.arange(chars)
         for length in range(1, known.longest + 1):
-            alive = alive[left[alive] >= length]
+            if length > 1:
+                alive = alive[left[alive] >= length]
             if not len(alive):
                 break
             where = place[alive]
             found = mix64((sums[where + length] - sums[where]) * inverse[where] + np.uint64(length))
-            low = found & mask
-            maybe = known.filter[low]
-            fit, found = alive[maybe], found[maybe]
-            alive = alive[known.more[low]]
-            index = np.minimum(np.searchsorted(known.hashes, found), len(known.hashes) - 1)
-            same = known.hashes[index] == found
-            fit, index = fit[same], index[same]
-            last = left[fit] == length
+            fit, index, more = known.look_up(found)
+            fit, alive = alive[fit], alive[more]
             sources.append(node[fit])
-            targets.append(np.where(last, 0, node[np.where(last, 0, fit + length)]))
+            targets.append(node[np.where(left[fit] == length, chars, fit + length)])
             weights.append(known.weights[index])
             ids.append(known.ids[index])
         # A character without a piece is one edge of its bytes.
@@ -153,8 +242,8 @@ class Lattice:
         targets.append(node[after[bare]])
         weights.append(known.byte_weight * widths)
         n_plain = sum(map(len, ids))
-        self.pool = np.concatenate([*ids, known.first_byte + np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)])
-        counts = [np.ones(n_plain, np.int64), widths]
+        pool = np.concatenate([*ids, known.first_byte + np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)])
+        counts = np.concatenate([np.ones(n_plain, np.int64), widths])
 
         # Edges of a node stand together; each length adds at most one to a node, so places are counted, not sorted.
         degree = np.zeros(n_nodes, np.int64)
@@ -162,56 +251,85 @@ class Lattice:
         for own in sources:
             spots.append(degree[own])
             degree[own] += 1
-        self.first = np.concatenate(([0], np.cumsum(degree)))
-        n_edges = int(self.first[-1])
-        spot = np.concatenate([self.first[own] + rank for own, rank in zip(sources, spots)])
-        self.target, weight, self.count, self.offset = np.empty(n_edges, np.int64), np.empty(n_edges), np.empty(n_edges, np.int64), np.empty(n_edges, np.int64)
-        count = np.concatenate(counts)
-        self.target[spot], weight[spot], self.count[spot], self.offset[spot] = np.concatenate(targets), np.concatenate(weights), count, np.cumsum(count) - count
-        self.source = np.repeat(np.arange(n_nodes), degree)
+        firsts = np.concatenate(([0], np.cumsum(degree)))
+        n_edges = int(firsts[-1])
+        spot = np.concatenate([firsts[own] + rank for own, rank in zip(sources, spots)])
+        target, weight, count, offset = np.empty(n_edges, np.int64), np.empty(n_edges), np.empty(n_edges, np.int64), np.empty(n_edges, np.int64)
+        target[spot], weight[spot], count[spot], offset[spot] = np.concatenate(targets), np.concatenate(weights), counts, np.cumsum(counts) - counts
 
         # Log sums of all ways from each node to its word's end, level by level; the likeliest edge goes first.
         total = np.zeros(n_nodes)
         log_p = np.empty(n_edges)
-        self.log_plain, self.log_left = np.zeros(n_nodes), np.full(n_nodes, -np.inf)
-        self.log_others, self.p_first = np.full(n_nodes, -np.inf), np.ones(n_nodes)
-        for low, high in zip(levels.tolist(), levels[1:].tolist()):
-            if low == high:
-                continue
-            begin, end = self.first[low], self.first[high]
-            heads, n = self.first[low:high] - begin, degree[low:high]
-            ways = weight[begin:end] + total[self.target[begin:end]]
-            top = np.maximum.reduceat(ways, heads)
-            share = np.exp(ways - np.repeat(top, n))
-            sums_ = np.add.reduceat(share, heads)
-            total[low:high] = top + np.log(sums_)
-            log_p[begin:end] = ways - np.repeat(total[low:high], n)
-            # Exchange the likeliest with the head.
-            best = np.flatnonzero(share == 1.0)
-            owner = np.searchsorted(heads, best, "right") - 1
-            once = np.concatenate(([True], owner[1:] != owner[:-1]))
-            best, head = begin + best[once], begin + heads
-            for column in (self.target, log_p, self.count, self.offset):
-                column[head], column[best] = column[best], column[head]
-            share[best - begin], share[heads] = share[heads], 0.0
-            with np.errstate(divide="ignore"):
-                self.log_others[low:high] = np.log(np.add.reduceat(share, heads) / sums_)
-            # The plain way takes the first edge everywhere; its log probability, and that of all other ways.
-            own, after_ = log_p[head], self.target[head]
-            self.p_first[low:high] = np.exp(own)
-            self.log_plain[low:high] = own + self.log_plain[after_]
-            self.log_left[low:high] = np.logaddexp(self.log_others[low:high], own + self.log_left[after_])
-        self.log_p = log_p
-        rest = np.exp(log_p)
-        rest[self.first[1:-1]] = 0
-        run = np.cumsum(rest)
-        self.cumulative = self.source + run - np.repeat(run[np.minimum(self.first[:-1], max(n_edges - 1, 0))] if n_edges else np.zeros(n_nodes), degree)
-        self.others = np.exp(self.log_others)
+        log_plain, log_left = np.zeros(n_nodes), np.full(n_nodes, -np.inf)
+        log_others, p_first = np.full(n_nodes, -np.inf), np.ones(n_nodes)
+        with np.errstate(divide="ignore"):
+            for low, high in zip(levels.tolist(), levels[1:].tolist()):
+                if low == high:
+                    continue
+                begin_, end = firsts[low], firsts[high]
+                heads, n = firsts[low:high] - begin_, degree[low:high]
+                ways = weight[begin_:end] + total[target[begin_:end]]
+                top = np.maximum.reduceat(ways, heads)
+                share = np.exp(ways - np.repeat(top, n))
+                sums_ = np.add.reduceat(share, heads)
+                total[low:high] = top + np.log(sums_)
+                log_p[begin_:end] = ways - np.repeat(total[low:high], n)
+                # Exchange the likeliest with the head.
+                best = np.flatnonzero(share == 1.0)
+                if len(best) > high - low:  # ties: the first stays
+                    owner = np.searchsorted(heads, best, "right") - 1
+                    best = best[np.concatenate(([True], owner[1:] != owner[:-1]))]
+                moved = np.flatnonzero(best != heads)
+                best_, head_ = begin_ + best[moved], begin_ + heads[moved]
+                for column in (target, log_p, count, offset):
+                    column[head_], column[best_] = column[best_], column[head_]
+                share[best[moved]], share[heads] = share[heads[moved]], 0.0
+                head = begin_ + heads
+                log_others[low:high] = np.log(np.add.reduceat(share, heads) / sums_)
+                # The plain way takes the first edge everywhere; its log probability, and that of all other ways.
+                own, after_ = log_p[head], target[head]
+                p_first[low:high] = np.exp(own)
+                log_plain[low:high] = own + log_plain[after_]
+                log_left[low:high] = np.logaddexp(log_others[low:high], own + log_left[after_])
+
+        # Into the store: nodes and edges behind those that it has.
+        edges_at, pool_at = store.sizes["target"], store.append("pool", pool)
+        shift = store.sizes["log_p"], store.sizes["log_plain"] - 1
+        store.append("first", edges_at + firsts[1:], drop=1)
+        for name, values in (("log_plain", log_plain), ("log_left", log_left), ("log_others", log_others), ("p_first", p_first)):
+            store.append(name, values[1:])
+        store.append("target", np.where(target > 0, target + shift[1], 0))
+        store.append("log_p", log_p)
+        store.append("count", count)
+        store.append("offset", offset + pool_at)
+        store.append("start", starts + shift[1])
+        store.chars += chars
+        # The library's pieces of each word, and those of the plain way.
+        spelled = [line[b + 1 : b + n].replace(SPACE, " ") for b, n in zip(begins.tolist(), size.tolist())]
+        codes = [c or known.lone_mark for c in known.model.encode(spelled, num_threads=1)]
+        n_codes = np.fromiter(map(len, codes), np.int64, len(codes))
+        at = store.append("codes", np.fromiter(itertools.chain.from_iterable(codes), np.int32, int(n_codes.sum())))
+        store.append("code_at", at + np.cumsum(n_codes) - n_codes)
+        store.append("code_n", n_codes)
+        self.first, self.target = store.get("first"), store.get("target")
+        edges, n = self.plain(starts + shift[1])
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids_, bounds = _spread(store.get("pool"), store.get("offset")[edges], store.get("count")[edges], ends)
+        store.append("plain_at", store.append("plains", ids_) + bounds[:-1])
+        store.append("plain_n", np.diff(bounds))
 
     def _other(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge from each node that is not its first, by probability."""
-        edge = np.searchsorted(self.cumulative, node + u * self.others[node], "left")
-        return np.clip(edge, np.minimum(self.first[node] + 1, self.first[node + 1] - 1), self.first[node + 1] - 1)
+        edge, last = self.first[node] + 1, self.first[node + 1] - 1
+        aim = u * np.exp(self.log_others[node])
+        edge = np.minimum(edge, last)
+        ahead = np.flatnonzero(edge < last)
+        while len(ahead):
+            aim[ahead] -= np.exp(self.log_p[edge[ahead]])
+            ahead = ahead[aim[ahead] >= 0]
+            edge[ahead] += 1
+            ahead = ahead[edge[ahead] < last[ahead]]
+        return edge
 
     def walk(self, starts: np.ndarray, key: np.ndarray, left: bool) -> tuple[np.ndarray, np.ndarray]:
         """Edges drawn from each start to its word's end, laid end to end, and how many each has.
@@ -337,7 +455,7 @@ class Samples:
         self.chosen: list[np.ndarray] = []
         self.ways: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
-        self.n_ways, self.ends = 0, None
+        self.n_ways, self.ends, self.other_ids = 0, None, None
         self.drawn = np.zeros((k, n_texts), bool)
         self.log_p = np.zeros((k, n_texts))
         log_of = np.zeros((k, n_words))
@@ -436,27 +554,23 @@ class Samples:
             return tuple(way)
         return tuple(self.ways[0][self.ends[number] - self.sizes[0][number] : self.ends[number]].tolist())
 
-    def edges(self, r: int) -> tuple[np.ndarray, np.ndarray]:
-        """Edges of the r-th segmentation of all texts, laid end to end, and the bounds of the texts."""
-        lattice, cut = self.lattice, self.chosen[r]
-        distinct, which = np.unique(lattice.starts, return_inverse=True)
-        plain, plain_n = lattice.plain(distinct)
-        ways, sizes, ends = self._store()
-        edges = np.concatenate([plain, ways])
-        n = np.where(cut < 0, plain_n[which], sizes[cut] if len(sizes) else 0)
-        n[~np.repeat(self.drawn[r], np.diff(self.bounds))] = 0
-        begin = np.where(cut < 0, (np.cumsum(plain_n) - plain_n)[which], len(plain) + (ends - sizes)[cut] if len(sizes) else 0)
-        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        sums = np.concatenate(([0], np.cumsum(n)))
-        return edges[np.repeat(begin, n) + inside], sums[self.bounds]
-
     def ids(self, r: int) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of the r-th segmentation of all texts, laid end to end, and the bounds of the texts."""
-        edges, bounds = self.edges(r)
-        n = self.lattice.count[edges]
-        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        sums = np.concatenate(([0], np.cumsum(n)))
-        return self.lattice.pool[np.repeat(self.lattice.offset[edges], n) + inside].astype(np.int32), sums[bounds]
+        lattice, cut, store = self.lattice, self.chosen[r], self.lattice.store
+        if self.other_ids is None:
+            edges, sizes, _ = self._store()
+            self.other_ids = _spread(lattice.pool, lattice.offset[edges], lattice.count[edges], np.concatenate(([0], np.cumsum(sizes))))
+        ids, ends = self.other_ids
+        # Plain ways stand in the store, the others here.
+        live = np.repeat(self.drawn[r], np.diff(self.bounds))
+        n, at = store.get("plain_n")[lattice.words], store.get("plain_at")[lattice.words]
+        n[~live] = 0
+        own = np.flatnonzero((cut >= 0) & live)
+        values, base = store.get("plains"), store.sizes["plains"]
+        if len(own):
+            values = np.concatenate([values, ids])
+            at[own], n[own] = base + ends[cut[own]], ends[cut[own] + 1] - ends[cut[own]]
+        return _spread(values, at, n, self.bounds)
 
     def scores(self) -> np.ndarray:
         """Inclusion scores by the threshold, 1 where nothing is left."""
@@ -467,14 +581,21 @@ class Samples:
 
 def _encoding(path: str, k: int, theta: float, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary(path, theta)
+        known, store = vocabulary(path, theta), Store()
         for batch in slices(batches, 1, 256 << 10):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            best = known.model.encode(texts, num_threads=1)
-            decoded = known.model.decode(best, num_threads=1)
-            keys = np.array([xxhash.xxh3_64_intdigest(f"{seed}/{row}") for row in batch.column(2).to_pylist()], np.uint64)
-            drawn = Samples(Lattice(texts, known), keys, k)
+            if store.chars > KEPT_CHARS:
+                store.clear()
+            lattice = Lattice(texts, known, store)
             empty = np.array([not t for t in texts])
+            n_codes = store.get("code_n")[lattice.words]
+            n_codes[np.repeat(empty, np.diff(lattice.bounds))] = 0
+            codes, code_bounds = _spread(store.get("codes"), store.get("code_at")[lattice.words], n_codes, lattice.bounds)
+            best = pa.ListArray.from_arrays(code_bounds.astype(np.int32), pa.array(codes))
+            flat, ends = codes.tolist(), code_bounds.tolist()
+            decoded = known.model.decode([flat[i:j] for i, j in zip(ends, ends[1:])], num_threads=1)
+            keys = np.array([xxhash.xxh3_64_intdigest(f"{seed}/{row}") for row in batch.column(2).to_pylist()], np.uint64)
+            drawn = Samples(lattice, keys, k)
             parts = [drawn.ids(r) for r in range(k)]
             # Sample r of text t stands at row t * k + r of a k times longer list.
             kept = drawn.drawn.T & ~(empty[:, None] & (np.arange(k) > 0))
@@ -495,7 +616,7 @@ def _encoding(path: str, k: int, theta: float, seed: int) -> Callable[[Iterator[
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array(best, pa.list_(pa.int32())),
+                    best,
                     pa.array(decoded, pa.string()),
                     samples,
                     log_ps,
