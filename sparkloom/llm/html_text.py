@@ -10,8 +10,12 @@ marginal; runs whose marginal is at least one half are kept. All pages of a batc
 pass messages together, one tree level at a time.
 
 Defined cases: null, empty and text-free pages give an empty string; markup may be
-cut off or badly nested; white space (also non-breaking) is collapsed; repeated
-rows give repeated rows; an empty table gives no rows; further columns are ignored.
+badly nested, and a tag or comment cut off by the end of the page is left out; a quote
+that is not the beginning of an attribute's value is an ordinary character; white space
+(also non-breaking) is collapsed; very long and very deep pages are handled whole, one
+at a time; a marginal of exactly one half counts as main text; repeated rows give
+repeated rows; an empty table gives no rows; further columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -52,10 +56,17 @@ KINDS = {k: i for i, k in enumerate([*TAGS, *(f"#{k}" for k, _ in NAME_KINDS), "
 TEXT_KIND = KINDS["text"]
 N_FEATURES = 6 * 3 * 2
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: Comments; tags (quotes open a value only right after an equals sign); declarations; tags whose quote is never closed; markup cut off by the end.
+_VALUE = r"=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+"
+_TOKEN = re.compile(
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|{_VALUE})*+)>|<(?:[!?]|/[^a-zA-Z>])[^>]*+>|</>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<(?:/?[a-zA-Z]|[!?])[^>]*+\Z",
+    re.S,
+)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _MARK = re.compile(r"data-main\s*=\s*\"([01])\"")
-_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
+#: Only these may close themselves by a slash.
+_FOREIGN = ("svg", "math")
 
 
 class Trees:
@@ -111,7 +122,7 @@ class Trees:
                 continue
             name, closing, attributes = name.lower(), found[1] or found[4], found[3] or found[6] or ""
             if name in RAW:
-                if not closing and not attributes.endswith("/"):
+                if not closing and not (name in _FOREIGN and attributes.endswith("/")):
                     end = _RAW_END[name].search(html, at)
                     at = end.end() if end else len(html)
                 continue

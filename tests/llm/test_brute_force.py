@@ -237,3 +237,29 @@ def test_library_segmentation_of_spaces_is_a_way(text):
             edge = next(e for e in edges if at < len(want) and lattice.pool[lattice.offset[e] : lattice.offset[e] + lattice.count[e]].tolist() == want[at : at + lattice.count[e]])
             log_p, at, node = log_p + lattice.log_p[edge], at + lattice.count[edge], int(lattice.target[edge])
     assert at == len(want) and log_p > -math.inf
+
+
+def texts_of(html):
+    trees = html_text.Trees()
+    trees.read(html)
+    return list(trees.text.values())
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<p title=it's>First paragraph, it's long.</p><p>Second</p>", ["First paragraph, it's long.", "Second"]),
+        ("<p title=\"a>b\" data='it\"s'>x</p>y", ["x", "y"]),
+        ('<p title="unclosed>lost? </p><p>kept', ["lost?", "kept"]),
+        ('text <div class="cut', ["text"]),
+        ("a <!-- open", ["a"]),
+        ("a<!-->b<!-- x > y -->c<!-- q --!>d", ["abcd"]),
+        ("a < b and c > d, a<3", ["a < b and c > d, a<3"]),
+        ("<script src=/a/>var no=1;</script x>yes</ bogus></>!", ["yes!"]),
+        ("<p class=a\"b>one</p><p = 'x>y'>two</p><p data=>three</p>", ["one", "two", "three"]),
+        ("<div>" * 5000 + "deep" + "<b a='" * 5000, ["deep"]),
+        ("<p>" + "long word " * 100_000, [("long word " * 100_000).strip()]),
+    ],
+)
+def test_html_markup_is_read_as_browsers_do(html, want):
+    assert texts_of(html) == want
