@@ -4,19 +4,25 @@ Index. Equal vectors are one node, named by their smallest id. The first graph
 comes from blocks of neighbours along random projections. Each round of NN-descent
 joins every node's neighbours (forward and reverse) with their vectors, compares
 the neighbours of one node with each other, and offers each of them the nearest
-others; the ``degree`` nearest stay. All of it is Spark joins and exchanges; a node's
-list is bounded by twice the degree, as the method has it.
-
-Search. Every query begins at its own node and at ``entries`` fixed ones, and keeps the ``width`` nearest nodes found. In each step it expands
-all that are not yet expanded, and it stops when none is left. Pairs of query and
-node are exchanged, not vectors; the query vectors are sent to all tasks in blocks
-of bounded size. Found nodes are opened into their equal vectors at the end, and
-distances are then taken in double precision on the original vectors.
+others; the ``degree`` nearest stay. Rounds go on until at most ``settled`` of the
+edges are new in one. All of it is Spark joins and exchanges; a node's list is
+bounded by twice the degree, as the method has it. Vectors are exchanged in their
+own precision; distances are taken in double precision from differences to the
+middle of what is compared, so neither the scale nor an offset of the data matters
+(squares must fit doubles: parts up to 1e150).
+
+Search. Every query begins at its own node and at ``entries`` fixed ones, and keeps
+the ``width`` nearest nodes found. In each step it expands all that are not yet
+expanded, and it stops when none is left. Pairs of query and node are exchanged, not
+vectors; the query vectors are sent to all tasks, ``block_bytes`` of them at a time.
+Found nodes are opened into their equal vectors at the end, and distances are then
+taken in double precision on the original vectors.
 
 Defined cases: vectors that are null, all zero, or hold null or non-finite parts
 take no part, nor do those whose length differs from the most common one; equal
-distances go to the smaller id; fewer candidates than ``k`` are all returned; an
-empty table gives no rows; further columns are ignored.
+distances go to the smaller id; repeated rows count once; an id with several vectors
+is one candidate, by its nearest one, and asks with its smallest; fewer candidates
+than ``k`` are all returned; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,12 +56,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def _halves(column: pa.Array) -> np.ndarray:
-    """A column of half-precision vectors as a matrix."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(len(column), -1).astype(np.float32)
+def _unpacked(column: pa.Array, kind: type) -> np.ndarray:
+    """A column of vectors as bytes, as a matrix of doubles."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(float)
 
 
 def _square_distances(rows: np.ndarray) -> np.ndarray:
+    rows = rows - rows.mean(axis=0)
     norms = (rows**2).sum(axis=1)
     out = norms[:, None] + norms - 2 * rows @ rows.T
     np.fill_diagonal(out, np.inf)
@@ -72,21 +79,21 @@ def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame
     return usable.where(F.size("v") == (common["n"] if common else 0))
 
 
-def _projecting(n: int, seed: int) -> Run:
+def _projecting(n: int, seed: int, kind: type) -> Run:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                rows = _matrix(batch.column(1)).astype(np.float32)
-                sides = rows @ np.random.default_rng(seed).normal(size=(rows.shape[1], n)).astype(np.float32)
-                halves = pa.array([r.tobytes() for r in rows.astype(np.float16)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), halves, pa.array(list(sides.astype(float)), pa.list_(pa.float64()))], names=["node", "half", "sides"])
+                rows = _matrix(batch.column(1))
+                sides = rows @ np.random.default_rng(seed).normal(size=(rows.shape[1], n))
+                packed = pa.array([r.tobytes() for r in rows.astype(kind)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), packed, pa.array(list(sides), pa.list_(pa.float64()))], names=["node", "packed", "sides"])
 
     return run
 
 
 def _edges(a: list, b: list, d: list) -> pa.RecordBatch:
-    arrays = [np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((a, np.int64), (b, np.int64), (d, np.float32))]
-    return pa.RecordBatch.from_arrays([pa.array(arrays[0]), pa.array(arrays[1]), pa.array(arrays[2].astype(np.float32))], names=["a", "b", "d"])
+    arrays = [np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((a, np.int64), (b, np.int64), (d, float))]
+    return pa.RecordBatch.from_arrays([*map(pa.array, arrays)], names=["a", "b", "d"])
 
 
 def _nearest_in(rows: np.ndarray, names: np.ndarray, most: int, radius: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
@@ -99,12 +106,12 @@ def _nearest_in(rows: np.ndarray, names: np.ndarray, most: int, radius: np.ndarr
     return np.repeat(names, keep.sum(axis=1)), names[top[keep]], near[keep]
 
 
-def _block_neighbours(block: int, most: int) -> Run:
+def _block_neighbours(block: int, most: int, kind: type) -> Run:
     """Nearest neighbours within runs of ``block`` rows in the given order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, rows = batch.column(0).to_numpy(), _halves(batch.column(1)) if batch.num_rows else None
+            names, rows = batch.column(0).to_numpy(), _unpacked(batch.column(1), kind) if batch.num_rows else None
             out = [_nearest_in(rows[k : k + block], names[k : k + block], most) for k in range(0, batch.num_rows, block) if batch.num_rows - k > 1]
             yield _edges(*map(list, zip(*out))) if out else _edges([], [], [])
 
@@ -128,12 +135,12 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         yield rest.combine_chunks().to_batches()[0], np.array([0, rest.num_rows])
 
 
-def _local_join(most: int) -> Run:
+def _local_join(most: int, kind: type) -> Run:
     """Compares the neighbours of each node with each other; offers each its nearest others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, bounds in _groups(batches):
-            names, rows = batch.column(1).to_numpy(), _halves(batch.column(2))
+            names, rows = batch.column(1).to_numpy(), _unpacked(batch.column(2), kind)
             radius = batch.column(3).to_numpy()
             out = [_nearest_in(rows[i:j], names[i:j], most, radius[i:j]) for i, j in zip(bounds, bounds[1:]) if j - i > 1]
             yield _edges(*map(list, zip(*out))) if out else _edges([], [], [])
@@ -142,7 +149,7 @@ def _local_join(most: int) -> Run:
 
 
 def _keep_nearest(degree: int) -> Run:
-    """The first ``degree`` distinct neighbours of each node; input is sorted by node, distance and neighbour."""
+    """The first ``degree`` distinct neighbours of each node; input is sorted by node, distance, neighbour and whether the edge is fresh."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, bounds in _groups(batches):
@@ -158,8 +165,8 @@ def _keep_nearest(degree: int) -> Run:
 
 def _top(edges: DataFrame, degree: int) -> DataFrame:
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = edges.repartition(parts, "a").sortWithinPartitions("a", "d", "b")
-    return spread.mapInArrow(_keep_nearest(degree), "a long, b long, d float")
+    spread = edges.repartition(parts, "a").sortWithinPartitions("a", "d", "b", "fresh")
+    return spread.mapInArrow(_keep_nearest(degree), "a long, b long, d double, fresh boolean")
 
 
 def _both_ways(graph: DataFrame, degree: int) -> DataFrame:
@@ -173,7 +180,7 @@ def build_index(
     vectors: DataFrame,
     k: int = 10,
     degree: int = 24,
-    rounds: int = 3,
+    settled: float = 0.02,
     projections: int = 4,
     block: int = 256,
     offers: int = 5,
@@ -182,30 +189,34 @@ def build_index(
     vector_col: str = "embedding",
 ) -> Index:
     """A neighbour graph over all valid rows; answers up to ``k`` neighbours."""
-    valid = valid_vectors(vectors, id_col, vector_col)
+    valid = valid_vectors(vectors, id_col, vector_col).distinct()
+    kind = np.float32 if dict(vectors.dtypes)[vector_col] == "array<float>" else np.float64
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Of equal vectors only the k + 1 smallest ids can ever be answers; the rank limit applies before the exchange.
     nth = Window.partitionBy("v").orderBy("id")
     ranked = valid.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= k + 1)
     ranked = cut(ranked.withColumn("node", F.min("id").over(Window.partitionBy("v"))))
     nodes = ranked.where("nth = 1").select("node", "v")
-    sided = cut(nodes.mapInArrow(_projecting(projections, seed), "node long, half binary, sides array<double>"))
-    halves = sided.select("node", "half")
+    sided = cut(nodes.mapInArrow(_projecting(projections, seed, kind), "node long, packed binary, sides array<double>"))
+    packed = sided.select("node", "packed")
 
     first = None
     for p in range(projections):
-        line = sided.select("node", "half", F.col("sides")[p].alias("side")).repartitionByRange(parts, "side", "node").sortWithinPartitions("side", "node")
-        edges = line.select("node", "half").mapInArrow(_block_neighbours(block, max(degree // 2, k)), "a long, b long, d float")
+        line = sided.select("node", "packed", F.col("sides")[p].alias("side")).repartitionByRange(parts, "side", "node").sortWithinPartitions("side", "node")
+        edges = line.select("node", "packed").mapInArrow(_block_neighbours(block, max(degree // 2, k), kind), "a long, b long, d double")
         first = edges if first is None else first.union(edges)
-    graph = cut(_top(first, degree))
+    graph = cut(_top(first.withColumn("fresh", F.lit(True)), degree))
 
-    for _ in range(rounds):
+    while True:
         # A node with a short list takes any offer.
-        reach = graph.groupBy("a").agg(F.when(F.count("*") < degree, F.lit(float("inf"))).otherwise(F.max("d")).cast("float").alias("radius"))
-        known = halves.join(reach, F.col("node") == F.col("a"), "left").select("node", "half", F.coalesce("radius", F.lit(float("inf")).cast("float")).alias("radius"))
-        pairs = _both_ways(graph, degree).join(known, F.col("x") == F.col("node")).select("u", "x", "half", "radius")
-        offered = pairs.repartition(parts, "u").sortWithinPartitions("u").mapInArrow(_local_join(offers), "a long, b long, d float")
-        graph = cut(_top(graph.union(offered), degree))
+        reach = graph.groupBy("a").agg(F.when(F.count("*") < degree, F.lit(float("inf"))).otherwise(F.max("d")).alias("radius"))
+        known = packed.join(reach, F.col("node") == F.col("a"), "left").select("node", "packed", F.coalesce("radius", F.lit(float("inf"))).alias("radius"))
+        pairs = _both_ways(graph, degree).join(known, F.col("x") == F.col("node")).select("u", "x", "packed", "radius")
+        offered = pairs.repartition(parts, "u").sortWithinPartitions("u").mapInArrow(_local_join(offers, kind), "a long, b long, d double")
+        graph = cut(_top(graph.withColumn("fresh", F.lit(False)).union(offered.withColumn("fresh", F.lit(True))), degree))
+        edges = graph.agg(F.count("*").alias("n"), F.count_if("fresh").alias("fresh")).first()
+        if edges["fresh"] <= settled * edges["n"]:
+            break
 
     links = cut(_both_ways(graph, degree).select(F.col("u").alias("node"), F.col("x").alias("near")))
     return Index(nodes, ranked.select("node", "id", "nth"), links, k + 1)
@@ -232,29 +243,28 @@ def search(
     queries: DataFrame,
     k: int = 10,
     width: int = 400,
-    steps: int = 30,
     entries: int = 32,
-    block_rows: int = 50_000,
+    block_bytes: int = 128 << 20,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found, a query's own id left out."""
     if k + 1 > index.most_members:
         raise ValueError("the index was built for fewer neighbours")
-    asked = cut(valid_vectors(queries, id_col, vector_col))
-    n = asked.count()
-    n_blocks = max(1, -(-n // block_rows))
+    asked = cut(valid_vectors(queries, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v")))
+    n_bytes = asked.agg(F.sum(F.size("v") * 8)).first()[0] or 0
+    n_blocks = max(1, -(-n_bytes // block_bytes))
     found = None
     for b in range(n_blocks):
         part = asked.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b) if n_blocks > 1 else asked
-        answers = _search_block(index, part, k, width, steps, entries)
+        answers = _search_block(index, part, k, width, entries)
         found = answers if found is None else found.union(answers)
     return found
 
 
-def _search_block(index: Index, asked: DataFrame, k: int, width: int, steps: int, entries: int) -> DataFrame:
+def _search_block(index: Index, asked: DataFrame, k: int, width: int, entries: int) -> DataFrame:
     spark = asked.sparkSession
-    rows = asked.toPandas().sort_values("id")  # at most block_rows vectors
+    rows = asked.toPandas().sort_values("id")  # about block_bytes of vectors
     vectors = np.stack(rows["v"].tolist()) if len(rows) else np.zeros((0, 0))
     handle = spark.sparkContext.broadcast((rows["id"].to_numpy(np.int64), vectors))
 
@@ -269,7 +279,8 @@ def _search_block(index: Index, asked: DataFrame, k: int, width: int, steps: int
         .mapInArrow(_measuring(handle), "q long, node long, d double").withColumn("done", F.lit(False))
     )
     best = Window.partitionBy("q").orderBy("d", "node")
-    for _ in range(steps):
+    # A node is expanded once for a query at most, so the loop ends by itself.
+    while True:
         limit = beam.groupBy("q").agg(F.when(F.count("*") < width, far).otherwise(F.max("d")).alias("worst"))
         fresh = (
             beam.where("not done").join(index.graph, "node").select("q", F.col("near").alias("node")).distinct()
@@ -286,6 +297,6 @@ def _search_block(index: Index, asked: DataFrame, k: int, width: int, steps: int
     # Nodes whose distance could still be among the k nearest, opened into their equal vectors.
     near = beam.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= 2 * k + 2).select("q", "node")
     opened = near.join(index.members, "node").join(index.nodes, "node").where("id <> q").select("q", F.col("id").alias("node"), far.alias("worst"), "v")
-    exact = opened.mapInArrow(_measuring(handle), "q long, node long, d double")
+    exact = opened.mapInArrow(_measuring(handle), "q long, node long, d double").groupBy("q", "node").agg(F.min("d").alias("d"))
     exact = exact.withColumn("score", F.sqrt("d")).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("score", "node")))
     return exact.where(F.col("rank") <= k).select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("node").alias("vec_id"), "score")
