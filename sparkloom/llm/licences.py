@@ -10,8 +10,10 @@ its coverage. A match needs ``least`` coverage and all the template's telling wo
 
 Defined cases: null, empty and wordless texts have no matches; repeated notices are
 separate matches; where matches of several templates overlap, the one with more
-aligned words stays (ties: greater coverage, then name); repeated rows give repeated
-rows; an empty table gives no rows; further columns are ignored.
+aligned words stays (ties: greater coverage, then name, then place); very long texts
+are handled whole, one at a time, and take time in proportion to their words and
+matches; repeated rows give repeated rows; an empty table gives no rows; further
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -50,7 +52,33 @@ TEMPLATES = (
         "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
         "apache compliance",
     ),
+    Template(
+        "agpl-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "gnu affero foundation 3",
+    ),
+    Template("all-rights-reserved", "All rights reserved.", "all rights reserved"),
+    Template(
+        "bsd-2-clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR "
+        "IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+        "redistribution binary disclaimed",
+    ),
     Template("bsd-3-clause", "Released under the BSD 3-Clause License.", "bsd 3"),
+    Template(
+        "bsd-3-clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse "
+        "or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "
+        "\"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+        "redistribution binary endorse disclaimed",
+    ),
     Template(
         "bsd-3-clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
@@ -67,7 +95,37 @@ TEMPLATES = (
         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "gnu foundation 3",
     ),
+    Template(
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice "
+        "and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
+        "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+        "permission fee granted disclaims",
+    ),
+    Template(
+        "lgpl-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "gnu lesser foundation 2 1",
+    ),
+    Template(
+        "lgpl-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "gnu lesser foundation 3",
+    ),
     Template("mit", "Released under the MIT License.", "mit"),
+    Template(
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
+        "notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY "
+        "OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT "
+        "SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF "
+        "OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        "permission granted sublicense noninfringement",
+    ),
     Template(
         "mit",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
@@ -76,8 +134,17 @@ TEMPLATES = (
         "permission granted sublicense",
     ),
     Template("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla 2"),
+    Template("unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered public domain"),
 )
 
+#: Identifiers of the public licence list that are looked for behind its tag. Fixed values.
+TAGGED = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0",
+    "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0",
+    "Unlicense", "WTFPL", "Zlib",
+)
+TEMPLATES += tuple(Template(tag.lower(), f"SPDX-License-Identifier: {tag}", f"spdx identifier {tag.replace('-', ' ').replace('.', ' ').lower()}") for tag in TAGGED)
+
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest run of pairs, sorted by their first, whose second also increases (by patience piles)."""
@@ -175,12 +242,17 @@ class Scanner:
 
 
 def _apart(found: list[dict]) -> list[dict]:
-    """Matches that don't overlap, the fullest first."""
+    """Matches that don't overlap, the fullest first; those kept stand in order of place, so only neighbours are compared."""
+    firsts: list[int] = []
     kept: list[dict] = []
     for m in sorted(found, key=lambda m: (-m["aligned"], -m["coverage"], m["licence"], m["first_word"])):
-        if all(m["first_word"] >= o["first_word"] + o["n_words"] or o["first_word"] >= m["first_word"] + m["n_words"] for o in kept):
-            kept.append(m)
-    return sorted(kept, key=lambda m: m["first_word"])
+        first, end = m["first_word"], m["first_word"] + m["n_words"]
+        at = bisect_left(firsts, first)
+        if at and kept[at - 1]["first_word"] + kept[at - 1]["n_words"] > first or at < len(kept) and firsts[at] < end:
+            continue
+        firsts.insert(at, first)
+        kept.insert(at, m)
+    return kept
 
 
 _MATCH = pa.list_(pa.struct([("licence", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("aligned", pa.int64()), ("coverage", pa.float64())]))
