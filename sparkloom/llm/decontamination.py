@@ -7,16 +7,22 @@ to the depth of a window. Runs with unknown words cannot hold a window, so leavi
 them out loses no match. Every suffix of every item that starts a window is then
 binary-searched in the array; its range gives all places where the window stands.
 Neighbouring places on one diagonal (document place minus item place) join to the
-longest verbatim matches.
+longest verbatim matches. An item that repeats one of its own windows could match at
+very many diagonals; for it the longest match from every document place is found, and
+of these the fewest that cover all its hit words are reported, so nothing grows with
+the product of both sides.
 
 The benchmark is read in blocks of bounded size. Each block is broadcast and
 searched by one pass over the corpus; there is no shuffle of documents, and a
 passage shared by very many of them costs each shard only its own occurrences.
+Between blocks rows are cut to the shared checkpoint folder, so that no task holds
+more than one block.
 
 Defined cases: null and wordless texts have no words, no hits and are clean; an
 item with fewer words than a window is one window, an item without words none;
-equal items are each reported; repeated rows give repeated rows; empty tables
-give no rows or clean documents; further columns are ignored.
+equal items are each reported; repeated rows give repeated rows; very long texts are
+handled whole, one at a time; empty tables give no rows or clean documents; further
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_columns, named_back, pieces
+from .common import cut, kept_columns, named_back, pieces
 from .shingles import blank_bytes, hashed_words
 
 #: Words are runs of 0-9, a-z and anything beyond ASCII.
@@ -56,6 +62,17 @@ class Block:
             order = np.argsort(inverse, kind="stable")
             at = np.searchsorted(inverse[order], np.arange(len(distinct) + 1))
             self.groups.append((size, _keys(distinct), at, item[order], start[order]))
+        #: Items that hold one window several times, with the numbers (of group and window) of all their windows in order.
+        self.repeating = {}
+        for g, (_, _, at, item, start) in enumerate(self.groups):
+            window = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            again = np.zeros(len(item), bool)
+            by = np.lexsort((window, item))
+            again[by[1:]] = (item[by[1:]] == item[by[:-1]]) & (window[by[1:]] == window[by[:-1]])
+            for own in np.unique(item[again]).tolist():
+                places = np.flatnonzero(item == own)
+                self.repeating[own] = g, window[places][np.argsort(start[places])]
+        self.single = [~np.isin(group[3], list(self.repeating)) for group in self.groups]
         self.shortest = min((g[0] for g in self.groups), default=0)
         self.longest = max((g[0] for g in self.groups), default=0)
 
@@ -105,21 +122,31 @@ def shard_matches(block: Block, words: np.ndarray, bounds: np.ndarray) -> tuple[
     order = suffix_array(sequence, block.longest)
 
     at_words, items, starts, sizes = [], [], [], []
-    for size, keys, at, item, start in block.groups:
+    more = [np.zeros((4, 0), np.int64)]
+    for g, (size, keys, at, item, start) in enumerate(block.groups):
         fit = order[order <= len(sequence) - size]
         suffixes = _keys(np.lib.stride_tricks.sliding_window_view(sequence, size)[fit])
         low, high = np.searchsorted(suffixes, keys, "left"), np.searchsorted(suffixes, keys, "right")
-        for k in np.flatnonzero(high > low).tolist():
+        met = np.flatnonzero(high > low)
+        for k in met.tolist():
+            uses = at[k] + np.flatnonzero(block.single[g][at[k] : at[k + 1]])
+            if not len(uses):
+                continue
             where = origin[fit[low[k] : high[k]]]
-            uses = slice(at[k], at[k + 1])
-            n = at[k + 1] - at[k]
-            at_words.append(np.repeat(where, n))
+            at_words.append(np.repeat(where, len(uses)))
             items.append(np.tile(item[uses], len(where)))
             starts.append(np.tile(start[uses], len(where)))
-            sizes.append(np.full(len(where) * n, size))
-    if not at_words:
-        return none
-    word, item, start, size = map(np.concatenate, (at_words, items, starts, sizes))
+            sizes.append(np.full(len(where) * len(uses), size))
+        for own, (group, windows) in block.repeating.items():
+            if group == g:
+                here = np.intersect1d(windows, met)
+                if len(here):
+                    spots = np.concatenate([fit[low[k] : high[k]] for k in here.tolist()])
+                    names = np.repeat(here, (high - low)[here])
+                    first, begin, n = _covering(spots, names, windows, size)
+                    more.append(np.stack([origin[first], np.full(len(first), own), begin, n]))
+    none_ = np.zeros(0, np.int64)
+    word, item, start, size = (np.concatenate([none_, *x]) for x in (at_words, items, starts, sizes))
     # Places that follow each other on one diagonal of one item are one match.
     diagonal = word - start
     by = np.lexsort((word, diagonal, item))
@@ -127,9 +154,41 @@ def shard_matches(block: Block, words: np.ndarray, bounds: np.ndarray) -> tuple[
     new = np.ones(len(word), bool)
     new[1:] = (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (word[1:] != word[:-1] + 1)
     begin = np.flatnonzero(new)
-    last = np.concatenate((begin[1:], [len(word)])) - 1
-    text = np.searchsorted(bounds, word[begin], "right") - 1
-    return text, item[begin], word[begin] - bounds[text], start[begin], word[last] + size[last] - word[begin]
+    last = np.concatenate((begin[1:], [len(word)])) - 1 if len(begin) else begin
+    found = np.concatenate([np.stack([word[begin], item[begin], start[begin], word[last] + size[last] - word[begin]]), *more], axis=1)
+    text = np.searchsorted(bounds, found[0], "right") - 1
+    return text, found[1], found[0] - bounds[text], found[2], found[3]
+
+
+def _covering(spots: np.ndarray, names: np.ndarray, windows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one item's matches, the fewest longest ones that cover all places: first place, place in the item, words.
+
+    ``spots`` are the places of its windows in the sequence and ``names`` the windows; ``windows`` are the item's, in order.
+    """
+    by = np.argsort(spots)
+    spots, names = spots[by], names[by]
+    follows = np.append(spots[1:] == spots[:-1] + 1, False)
+    best, best_at = np.zeros(len(spots), np.int64), np.zeros(len(spots), np.int64)
+    run = np.zeros(len(spots) + 1, np.int64)
+    for k in range(len(windows) - 1, -1, -1):  # windows that agree from each place and from the item's k-th window on
+        run = np.append(np.where(names == windows[k], 1 + np.where(follows, run[1:], 0), 0), 0)
+        longer = run[:-1] >= best
+        best[longer], best_at[longer] = run[:-1][longer], k
+    # From the first place on, always the match that begins within the last one (or right behind it) and reaches farthest.
+    chosen, k, n = [], 0, len(spots)
+    reach = spots + best + size - 1
+    farthest = np.maximum.accumulate(reach)
+    holder = np.maximum.accumulate(np.where(reach == farthest, np.arange(n), 0))
+    while k < n:
+        chosen.append(k)
+        end = int(reach[k])
+        last = int(np.searchsorted(spots, end, "right")) - 1
+        if farthest[last] > end:
+            k = int(holder[last])
+        else:
+            k = last + 1
+    chosen = np.array(chosen, np.int64)
+    return spots[chosen], best_at[chosen], best[chosen] + size - 1
 
 
 def _searching(handle, last: bool, id_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -199,6 +258,9 @@ def contamination(
         last = k == n_blocks - 1
         fields = "n_words long, n_hit long" if last else "text string"
         state = state.mapInArrow(_searching(handle, last, arrow_type), f"id {id_type}, {fields}, matches {match_type}{kept}")
+        if not last:
+            state = cut(state)
+            handle.unpersist()
     own = [] if id_col in keep else [F.col("id").alias(id_col)]
     return state.select(
         *own,
