@@ -16,8 +16,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     its label, and then follows its new label once. So whole regions of one label move
     together and a chain of n nodes in any order takes about log n rounds (11 for 300
     shuffled ones, 22 for 100,000). Each round but the last lowers a label, so the loop
-    ends by itself. Aggregations combine before the exchange, so a node with very many
-    neighbours is no burden. Every round is cut to the shared checkpoint folder.
+    ends by itself. Aggregations combine before the exchange. The joins by a node's id
+    bring the rows of its neighbours together, three ids each; those of a node with very
+    many neighbours are split by the adaptive skew join, as the other side has one row.
+    Every round is cut to the shared checkpoint folder. Nodes may be of any type that has
+    an order. Edges from a node to itself, repeated edges and an empty table are allowed.
     """
     both = cut(
         edges.select(F.col("a").alias("node"), F.col("b").alias("other"))

@@ -8,7 +8,7 @@ _WORDS = np.random.Generator(np.random.PCG64(20240501))
 #: One random 64-bit value for each byte, and odd bases of polynomial hashes with their inverses modulo 2**64.
 BYTE_VALUES = _WORDS.integers(0, 1 << 64, 256, dtype=np.uint64)
 BYTE_BASE = 0x9E3779B97F4A7C15
-WORD_BASES = _WORDS.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FIRST_BASES = _WORDS.integers(0, 1 << 63, 16, dtype=np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -20,6 +20,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def word_bases(n: int) -> np.ndarray:
+    """An odd factor for each place of a shingle."""
+    more = mix64(np.arange(16, max(n, 16), dtype=np.uint64)) >> np.uint64(1)
+    return np.concatenate([_FIRST_BASES, more])[:n] * np.uint64(2) + np.uint64(1)
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     """base**0 to base**(n - 1) modulo 2**64, by doubling."""
     out = np.ones(max(n, 1), np.uint64)
@@ -64,16 +70,16 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     """The sorted distinct shingles of each text; a shorter text is one shingle, one without words none."""
     words, bounds = hashed_words(texts)
     n = len(words)
-    mixed = np.zeros(max(n - width + 1, 0), np.uint64)
+    mixed, bases = np.zeros(max(n - width + 1, 0), np.uint64), word_bases(width)
     for k in range(width if len(mixed) else 0):
-        mixed += words[k : n - width + 1 + k] * WORD_BASES[k]
+        mixed += words[k : n - width + 1 + k] * bases[k]
     mixed = mix64(mixed)
     sets = []
     for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         if end - begin >= width:
             sets.append(np.unique(mixed[begin : end - width + 1]))
         elif end > begin:
-            own = words[begin:end] * WORD_BASES[: end - begin]
+            own = words[begin:end] * bases[: end - begin]
             sets.append(mix64(np.array([own.sum(dtype=np.uint64) + np.uint64(end - begin)], np.uint64)))
         else:
             sets.append(np.zeros(0, np.uint64))
