@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not root and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(root or tempfile.mkdtemp(prefix="checkpoint-"))
     return root or context._jsc.sc().getCheckpointDir().get()
 
@@ -57,7 +59,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def packed(docs: DataFrame, *used: str) -> DataFrame:
     """The columns ``used`` and the whole row as one column ``_row``, so that no other name can clash."""
-    return docs.select(*used, F.struct(*[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(docs.columns)]).alias("_row"))
+    return docs.select(*[F.col(f"`{c}`") for c in used], F.struct(*[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(docs.columns)]).alias("_row"))
 
 
 def unpacked(found: DataFrame, columns: list[str]) -> DataFrame:

@@ -263,3 +263,124 @@ def texts_of(html):
 )
 def test_html_markup_is_read_as_browsers_do(html, want):
     assert texts_of(html) == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab  ▁é你😀\n\tThe 12\x00ﬁ½​"), max_size=60), min_size=1, max_size=4))
+def test_words_encode_as_the_library_encodes_texts(texts):
+    import pyarrow as pa
+
+    known = pieces.vocabulary(PIECES, 1.0)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string()), pa.array([str(i) for i in range(len(texts))], pa.string())], names=["id", "text", "key"])
+    found = pa.Table.from_batches(pieces._encoding(PIECES, 2, 1.0, 5)(iter([rows]))).to_pylist()
+    assert [r["ids"] for r in found] == [known.model.encode(t) for t in texts]
+    assert all(known.model.decode(s) == r["decoded"] == known.model.decode(r["ids"]) for r in found for s in r["samples"])
+
+
+def test_samples_do_not_depend_on_what_was_kept():
+    known, keys = pieces.vocabulary(PIECES, 1.0), np.arange(1, 9, dtype=np.uint64)
+    texts = ["the cat sat on a mat", "un deux trois", "the cat", "a", "été 你好 the", "zzz qqq", "mat mat mat", "x"]
+    store = pieces.Store()
+    pieces.Lattice(["some words kept before: trois cat qqq"], known, store)
+    one, two = (pieces.Samples(lattice, keys, 3) for lattice in (pieces.Lattice(texts, known), pieces.Lattice(texts, known, store)))
+    assert all((one.ids(r)[0] == two.ids(r)[0]).all() for r in range(3)) and np.allclose(one.log_p, two.log_p)
+    store.clear()
+    three = pieces.Samples(pieces.Lattice(texts, known, store), keys, 3)
+    assert all((one.ids(r)[0] == three.ids(r)[0]).all() for r in range(3))
+
+
+def plain_windows(texts, items, window=13):
+    """For each text its hit words and the items with a window in it, word by word."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    out = []
+    for text in map(words, texts):
+        hit, found = set(), set()
+        for name, item in items:
+            item = words(item)
+            size = min(window, len(item))
+            spans = {tuple(item[i : i + size]) for i in range(len(item) - size + 1)} if item else set()
+            for i in range(len(text) - size + 1):
+                if tuple(text[i : i + size]) in spans:
+                    hit |= set(range(i, i + size))
+                    found.add(name)
+        out.append((len(text), len(hit), sorted(found)))
+    return out
+
+
+def test_contamination_equals_word_by_word(spark):
+    """Items that repeat their own windows, short items, equal items and overlapping matches."""
+    rng = np.random.default_rng(12)
+    items = [(k, " ".join(rng.choice(["a", "b", "c"][: 1 + k % 3], rng.integers(1, 40)))) for k in range(25)] + [(90, "a " * 30), (91, "a " * 30), (92, None), (93, "a b " * 20)]
+    texts = [" ".join(rng.choice(["a", "b", "c"][: 1 + k % 3], rng.integers(0, 120))) for k in range(40)] + ["x " + "a " * 50 + "y " + "a " * 13, None, "", "a b " * 30 + "c " + "b a " * 12]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r for r in decontamination.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    bodies = {k: re.findall(r"\w+", t or "") for k, t in items}
+    for k, (n, hit, names) in enumerate(plain_windows(texts, items)):
+        assert (found[k].n_words, found[k].n_hit, sorted(found[k]["items"])) == (n, hit, names)
+        own = re.findall(r"\w+", texts[k] or "")
+        for m in found[k].matches:  # each is verbatim
+            assert own[m.doc_word : m.doc_word + m.n_words] == bodies[m.item_id][m.item_word : m.item_word + m.n_words]
+
+
+def test_contamination_of_a_million_equal_words_is_bounded():
+    import tracemalloc
+
+    block = decontamination.Block([1], ["word " * 200], 13)
+    tracemalloc.start()
+    words, bounds = decontamination.hashed_words(["word " * 1_000_000], decontamination.WORD_BREAKS)
+    text, item, at, start, n = decontamination.shard_matches(block, words, bounds)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(at) == 5000 and at[0] == 0 and (n == 200).all() and peak < 500e6
+
+
+def test_licences_are_found_where_they_stand_and_nowhere_else(spark):
+    """Exact and worn notices among other words, against where they were put."""
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for k, template in enumerate(licences.TEMPLATES):
+        words = template.text.split()
+        worn = [w for i, w in enumerate(words) if len(words) < 25 or i % 12 != 5 or set(re.findall(r"\w+", w.lower())) & set(template.telling.split())]
+        before = [f"other{x}" for x in rng.integers(0, 99, rng.integers(0, 40))]
+        rows.append((3 * k, " ".join([*before, *words, "after", "that"])))
+        rows.append((3 * k + 1, " ".join([*before, *worn])))
+        rows.append((3 * k + 2, " ".join(words[: len(words) // 3])))
+        want[3 * k] = (template.licence, len(before))
+        want[3 * k + 1] = (template.licence, len(before))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in licences.scan(docs).collect():
+        if r.doc_id in want:
+            assert want[r.doc_id] in [(m.licence, m.first_word) for m in r.matches], rows[r.doc_id]
+            assert r.doc_id % 3 or max(m.coverage for m in r.matches) == 1.0
+    clean = spark.createDataFrame([(1, "the licence of all things that are reserved for a public matter"), (2, None), (3, "rights all reserved")], "doc_id long, text string")
+    assert all(r.matches == [] for r in licences.scan(clean).collect())
+
+
+def longest_increasing(values):
+    best = []
+    for k, v in enumerate(values):
+        best.append(1 + max([best[j] for j in range(k) if values[j] < v], default=0))
+    return max(best, default=0)
+
+
+def test_patience_alignment_of_distinct_words_is_the_longest_increasing_run():
+    """Where all words are distinct, every alignment is a run of anchors, so its size is known."""
+    rng = np.random.default_rng(10)
+    for _ in range(300):
+        a, b = rng.permutation(16)[: rng.integers(0, 16)].tolist(), rng.permutation(16).tolist()
+        values = [b.index(w) for w in a]
+        assert len(licences._increasing(list(enumerate(values)))) == longest_increasing(values)
+        same = sum(1 for x, y in itertools.takewhile(lambda p: p[0] == p[1], zip(a, b)))
+        inner = licences.patience_alignment(a, b)
+        assert same <= len(inner) <= longest_increasing(values)
+        edited = [w for w in b if rng.random() > 0.3]
+        assert len(licences.patience_alignment(edited, b)) == len(edited)
+
+
+def test_many_notices_take_time_in_proportion():
+    import time
+
+    scanner = licences.Scanner(licences.TEMPLATES, 0.8, 0.25)
+    began = time.process_time()
+    found = scanner.matches(["Released under the MIT License. " * 8000])[0]
+    assert len(found) == 8000 and time.process_time() - began < 20
