@@ -6,27 +6,20 @@ coordinate: min over the set of pi(sigma(x) + k * stride). No further hash
 functions are drawn. Bands of ``rows`` coordinates are hashed to bucket keys.
 With 32 bands of 4 a pair at Jaccard 0.8 shares no bucket with probability 5e-8.
 
-Links without all pairs of a bucket. Texts of equal shingle sets are one class,
-named by its smallest id and a sum over its set, and only the class goes on. In
-every bucket a class may be compared with the bucket's smallest class alone (its
-pivot): first with the pivot that it meets in most buckets, and then, where that
-left them in different components, with its other pivots. Buckets that still hold
-several components are looked at again by an exact prefix filter: among their classes
-shingles are put in order from rare to common, and two sets of similarity t can only
-be alike if they share one of the first n - ceil(t * n) + 1 shingles of each; classes
-of different components that share such a shingle are confirmed on their full sets.
-
-Hot keys. Sets are sent once for each pair to confirm, never once a bucket. The
-partners of one pivot, and the classes of one common shingle, are dealt over several
-tasks of about ``GROUP`` rows each.
+Links without all pairs of a bucket. Texts of equal shingle sets are one class
+and only its smallest id goes on. In every bucket each class is compared with
+the bucket's smallest id alone, and confirmed links give first components. Only
+buckets that still hold several components are looked at again: a class whose
+shingles occur too rarely among those classes can have no partner and leaves
+(an exact bound), and the rest are joined across components with the exact test
+inside the join condition, so only true links leave the join.
 
 Defined cases: a null or wordless text has no shingles, links with nothing and
 is its own component; a text of fewer words than the shingle width is one
 shingle; repeated rows share their component and are all kept if theirs is the
-component's smallest id; one id on different texts stands in a class for each of
-them; rows of equal id and component are kept or not together; very long texts are
-handled whole, one at a time; an empty table gives no rows; further columns, whatever
-their names, are ignored.
+component's smallest id; an id that is the smallest of two different sets is one node
+with the links of both; very long texts are handled whole, one at a time; an empty table
+gives no rows; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, pieces
@@ -44,8 +37,6 @@ from .shingles import mix64, shingle_sets
 
 STRIDE = np.uint32(0x9E3779B1)  # odd, so the shifts of the circle are all different
 BLOCK = 1 << 14
-#: About so many rows of one pivot or shingle meet in one task.
-GROUP = 512
 
 
 def _permute(x: np.ndarray, first: int, second: int) -> np.ndarray:
@@ -83,62 +74,27 @@ def _signing(width: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordB
         for batch in pieces(batches, 1, 1 << 20):
             sets = shingle_sets(batch.column(1).to_pylist(), width)
             keys = [band_keys(circulant_signature(s, bands * rows), bands, rows).view(np.int64) if len(s) else None for s in sets]
-            sums = _sums(sets)
+            sums = np.array([(s.sum(dtype=np.uint64), mix64(s + np.uint64(1)).sum(dtype=np.uint64)) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "text_hash", "n", "set_a", "set_b", "bands"],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array(keys, pa.list_(pa.int64())), *batch.columns[2:]],
+                names=["id", "n", "set_a", "set_b", "bands", *batch.schema.names[2:]],
             )
 
     return run
 
 
-def _sums(sets: list[np.ndarray]) -> np.ndarray:
-    """Two sums over each set that tell sets apart."""
-    return np.array([(s.sum(dtype=np.uint64), mix64(s + np.uint64(1)).sum(dtype=np.uint64)) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
-
-
 def _sets(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1, 1 << 20):
             sets = shingle_sets(batch.column(1).to_pylist(), width)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(_sums(sets)[:, 0]), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "set_a", "shingles"]
-            )
+            # An id may stand on further texts; its class is told by the sum.
+            own = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) == batch.column(2).to_numpy()
+            rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["rep", "set_a", "shingles"])
+            yield rows.filter(pa.array(own))
 
     return run
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b`` of those ``pairs(a, b, n_a, n_b)`` whose full ``sets(rep, shingles)`` are alike.
-
-    The partners of one ``b`` are dealt over as many tasks as they need; only ``b``'s own set is repeated.
-    """
-    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
-    left = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), "parts")).drop("parts").join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_of_a")), "a")
-    right = parts.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_of_b")), "b")
-    common = F.size(F.array_intersect("set_of_a", "set_of_b")).cast("long")
-    return left.join(right, ["b", "part"]).where((100 + percent) * common >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
-
-
-def prefix_pairs(open_sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b, n_a, n_b`` of ``open_sets(rep, n, comp, shingles)``: all pairs of different components that can be alike."""
-    tokens = open_sets.select("rep", "n", "comp", F.explode("shingles").alias("shingle"))
-    # A shingle of one class alone is the rarest and matches nothing.
-    seen = tokens.groupBy("shingle").agg(F.count("*").alias("seen")).where("seen > 1")
-    counted = tokens.join(seen, "shingle", "left").withColumn("seen", F.coalesce("seen", F.lit(1)))
-    own = Window.partitionBy("rep")
-    needed = F.ceil(F.col("n") * percent / 100)  # a partner holds so many of the class's shingles at least
-    ranked = counted.withColumn("nth", F.row_number().over(own.orderBy("seen", "shingle"))).withColumn("shared", F.count_if(F.col("seen") > 1).over(own))
-    prefix = ranked.where((F.col("seen") > 1) & (F.col("nth") <= F.col("n") - needed + 1) & (F.col("shared") >= needed))
-    prefix = cut(prefix.select("shingle", "seen", "rep", "n", "comp", "shared"))
-    parts = F.ceil(F.col("seen") / GROUP)
-    left = prefix.withColumn("part", F.pmod(F.xxhash64("rep"), parts)).select("shingle", "part", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "comp", "shared")))
-    right = prefix.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).select("shingle", "part", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "comp", "shared")))
-    alike = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * F.least("shared_a", "shared_b") >= percent * (F.col("n_a") + F.col("n_b")))
-    found = left.join(right, ["shingle", "part"]).where((F.col("comp_a") < F.col("comp_b")) & alike)
-    return found.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "n_a", "n_b").distinct()
-
-
 def near_duplicates(
     docs: DataFrame,
     width: int = 5,
@@ -157,55 +113,76 @@ def near_duplicates(
     """
     kind = dict(docs.dtypes)[id_col]
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    hashed = slim.select("id", "text", F.xxhash64("text").alias("text_hash"))
-    signed = cut(hashed.mapInArrow(_signing(width, bands, rows), f"id {kind}, text_hash long, n long, set_a long, set_b long, bands array<long>"))
+    more = [F.xxhash64("text").alias("text_hash")] if keep_hash else []
+    fields = ", text_hash long" if keep_hash else ""
+    signed = cut(slim.select("id", "text", *more).mapInArrow(_signing(width, bands, rows), f"id {kind}, n long, set_a long, set_b long, bands array<long>{fields}"))
     same_set = ["n", "set_a", "set_b"]
-    rep = F.struct("id", "set_a").alias("rep")  # tells classes apart even if one id stands on several texts
-    classes = signed.where("n > 0 and id is not null").groupBy(*same_set).agg(F.min("id").alias("id"), F.any_value("bands").alias("bands")).select(*same_set, rep, "bands")
+    classes = signed.where("n > 0 and id is not null").groupBy(*same_set).agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands"))
 
     members = classes.select("rep", "n", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("p"), F.count("*").alias("_size")).where("_size > 1")
-    live = cut(members.join(buckets.select("key", F.col("p.rep").alias("pivot"), F.col("p.n").alias("n_pivot")), "key"))
+    buckets = members.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("_size")).where("_size > 1")
+    live = cut(members.join(buckets.drop("_size"), "key"))
 
-    ids = live.select("rep").distinct()
+    ids = live.select("rep").distinct().join(classes.select("rep", "set_a"), "rep")
     # Repeated rows give one set each; one is enough.
     sets = cut(
-        slim.join(ids.select(F.col("rep.id").alias("id")).distinct(), "id", "left_semi")
-        .mapInArrow(_sets(width), f"id {kind}, set_a long, shingles array<long>").select(rep, "shingles")
-        .join(ids, "rep", "left_semi").dropDuplicates(["rep"])
+        slim.join(ids, F.col("id") == F.col("rep")).select("id", "text", "set_a")
+        .mapInArrow(_sets(width), f"rep {kind}, set_a long, shingles array<long>")
+        .dropDuplicates(["rep", "set_a"]).drop("set_a")
+    )
+    sizes = live.select("rep", "n").distinct()
+
+    def linked(a: str, b: str, n_a: str, n_b: str) -> F.Column:
+        common = F.size(F.array_intersect(a, b)).cast("long")
+        return (100 + percent) * common >= percent * (F.col(n_a) + F.col(n_b))
+
+    def near_size(n_a: str, n_b: str) -> F.Column:
+        return 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+
+    stars = live.where("rep <> pivot").select("rep", "n", "pivot").distinct()
+    star_links = cut(
+        stars.join(sizes.select(F.col("rep").alias("pivot"), F.col("n").alias("n_pivot")), "pivot")
+        .where(near_size("n", "n_pivot"))
+        .join(sets, "rep")
+        .join(sets.select(F.col("rep").alias("pivot"), F.col("shingles").alias("others")), "pivot")
+        .where(linked("shingles", "others", "n", "n_pivot"))
+        .select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
     )
+    first = connected_components(star_links)
 
-    near_size = 100 * F.least("n", "n_pivot") >= percent * F.greatest("n", "n_pivot")
-    stars = live.where(F.col("rep") != F.col("pivot")).where(near_size).groupBy("rep", "n", "pivot", "n_pivot").agg(F.count("*").alias("met"))
-    stars = cut(stars.withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("met"), "pivot"))))
-    pair = [F.col("rep").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("n_a"), F.col("n_pivot").alias("n_b")]
-    links = cut(confirmed(stars.where("nth = 1").select(*pair), sets, percent))
-    groups = connected_components(links)
-    # The other pivots, where a class and its pivot are still apart.
-    of = groups.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-    apart = stars.where("nth > 1").join(of, "rep", "left").join(of.select(F.col("rep").alias("pivot"), F.col("comp").alias("pivot_comp")), "pivot", "left")
-    apart = apart.where(F.coalesce("comp", "rep") != F.coalesce("pivot_comp", "pivot"))
-    more = cut(confirmed(apart.select(*pair), sets, percent))
-    if not more.isEmpty():
-        links = links.union(more)
-        groups = connected_components(links)
-
-    placed = live.select("key", "rep", "n").join(groups, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    placed = live.join(first, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("key")
-    open_ = placed.join(mixed, "key", "left_semi").select("rep", "n", "comp").distinct()
-    crossing = cut(confirmed(prefix_pairs(open_.join(sets, "rep"), percent), sets, percent))
-    if not crossing.isEmpty():
-        groups = connected_components(links.union(crossing))
+    open_ = cut(placed.join(mixed, "key", "left_semi"))
+    # A partner must hold percent/100 of a class's shingles, so at least so many of them occur in another class here.
+    open_sets = sets.join(open_.select("rep").distinct(), "rep", "left_semi")
+    tokens = open_sets.select("rep", F.explode("shingles").alias("shingle"))
+    shared = tokens.groupBy("shingle").agg(F.count("*").alias("_in")).where("_in > 1").select("shingle")
+    common = tokens.join(shared, "shingle", "left_semi").groupBy("rep").agg(F.count("*").alias("c"))
+    rest = cut(open_.join(common, "rep").where(100 * F.col("c") >= percent * F.col("n")))
+    still = rest.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("key")
+    rest = rest.join(still, "key", "left_semi").join(sets, "rep")
+    left = rest.select("key", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "comp", "c", "shingles")))
+    right = rest.select("key", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "comp", "c", "shingles")))
+    bound = (100 + percent) * F.least("c_a", "c_b") >= percent * (F.col("n_a") + F.col("n_b"))
+    cross_links = (
+        left.join(
+            right,
+            (left.key == right.key) & (F.col("comp_a") < F.col("comp_b")) & near_size("n_a", "n_b") & bound & linked("shingles_a", "shingles_b", "n_a", "n_b"),
+        )
+        .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+        .distinct()
+    )
+    cross_links = cut(cross_links)
+    final = first if cross_links.isEmpty() else connected_components(star_links.union(cross_links))
 
     joined = (
         signed.drop("bands")
         .join(classes.drop("bands"), same_set, "left")
-        .join(groups, F.col("rep") == F.col("node"), "left")
+        .join(final, F.col("rep") == F.col("node"), "left")
     )
-    found = joined.select(
+    return joined.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.coalesce("component.id", "rep.id", "id").alias("component_id"),
+        F.coalesce("component", "rep", "id").alias("component_id"),
         *(["text_hash"] if keep_hash else []),
-    )
-    return found.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    ).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

@@ -384,3 +384,18 @@ def test_many_notices_take_time_in_proportion():
     began = time.process_time()
     found = scanner.matches(["Released under the MIT License. " * 8000])[0]
     assert len(found) == 8000 and time.process_time() - began < 20
+
+
+def test_one_id_on_two_texts_loses_only_the_copy(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(1, a, 0), (5, a, 1), (5, b, 2), (6, b + " more", 3), (None, a, 4), (7, None, 5), (8, "", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `x.y` int").repartition(3)
+    kept = corpus_pipeline.one_of_each_group(spark, docs, str(tmp_path)).collect()
+    assert sorted(r["x.y"] for r in kept) == [0, 2, 4, 5, 6]
+
+
+def test_wide_shingles(spark):
+    docs = spark.createDataFrame([(1, " ".join(map(str, range(60)))), (2, " ".join(map(str, range(61)))), (3, "1 2")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs, width=20).collect()} == {1: 1, 2: 1, 3: 3}
