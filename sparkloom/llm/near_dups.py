@@ -17,8 +17,8 @@ inside the join condition, so only true links leave the join.
 Defined cases: a null or wordless text has no shingles, links with nothing and
 is its own component; a text of fewer words than the shingle width is one
 shingle; repeated rows share their component and are all kept if theirs is the
-component's smallest id; an id that is the smallest of two different sets is one node
-with the links of both; very long texts are handled whole, one at a time; an empty table
+component's smallest id; an id on several texts is one node, and texts of one id that have
+equally many shingles are not told apart in the search for links; very long texts are handled whole, one at a time; an empty table
 gives no rows; further columns, whatever their names, are ignored.
 """
 
@@ -87,10 +87,9 @@ def _sets(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1, 1 << 20):
             sets = shingle_sets(batch.column(1).to_pylist(), width)
-            # An id may stand on further texts; its class is told by the sum.
-            own = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) == batch.column(2).to_numpy()
-            rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["rep", "set_a", "shingles"])
-            yield rows.filter(pa.array(own))
+            own = np.array([len(s) for s in sets], np.int64) == batch.column(2).to_numpy()
+            rows = pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["rep", "shingles"])
+            yield rows.filter(pa.array(own, pa.bool_()))
 
     return run
 
@@ -123,14 +122,13 @@ def near_duplicates(
     buckets = members.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("_size")).where("_size > 1")
     live = cut(members.join(buckets.drop("_size"), "key"))
 
-    ids = live.select("rep").distinct().join(classes.select("rep", "set_a"), "rep")
-    # Repeated rows give one set each; one is enough.
+    sizes = live.select("rep", "n").distinct()
+    # Repeated rows give one set each; one is enough. Further texts of an id are told by their number of shingles.
     sets = cut(
-        slim.join(ids, F.col("id") == F.col("rep")).select("id", "text", "set_a")
-        .mapInArrow(_sets(width), f"rep {kind}, set_a long, shingles array<long>")
-        .dropDuplicates(["rep", "set_a"]).drop("set_a")
+        slim.join(sizes, F.col("id") == F.col("rep")).select("id", "text", "n")
+        .mapInArrow(_sets(width), f"rep {kind}, shingles array<long>")
+        .dropDuplicates(["rep"])
     )
-    sizes = live.select("rep", "n").distinct()
 
     def linked(a: str, b: str, n_a: str, n_b: str) -> F.Column:
         common = F.size(F.array_intersect(a, b)).cast("long")

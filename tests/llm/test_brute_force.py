@@ -389,7 +389,7 @@ def test_many_notices_take_time_in_proportion():
 def test_one_id_on_two_texts_loses_only_the_copy(spark, tmp_path):
     import corpus_pipeline
 
-    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    a, b = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("a", 60), ("b", 70)))
     rows = [(1, a, 0), (5, a, 1), (5, b, 2), (6, b + " more", 3), (None, a, 4), (7, None, 5), (8, "", 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, `x.y` int").repartition(3)
     kept = corpus_pipeline.one_of_each_group(spark, docs, str(tmp_path)).collect()
