@@ -47,10 +47,43 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     return points.withColumn("_cell", cell(point)).join(spread, "_cell").where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_cell")
 
 
+def not_in(rows: DataFrame, column: str, others: DataFrame, other: str) -> DataFrame:
+    """``rows`` whose ``column`` is ``NOT IN (others.other)``, with SQL's rules for nulls, but without broadcasting ``others``.
+
+    Of ``others`` only the distinct values are exchanged, and two flags (is it empty, does it
+    hold a null) are counted beforehand. Nothing is left if ``others`` holds a null; everything
+    if it is empty; else rows with a null in ``column`` go.
+    """
+    flags = others.agg(F.count("*").alias("_n"), F.count_if(F.col(other).isNull()).alias("_nulls"))
+    values = others.select(F.col(other).alias("_other")).where("_other is not null").distinct()
+    left = rows.join(values, F.col(column) == F.col("_other"), "left_anti")
+    return left.crossJoin(F.broadcast(flags)).where((F.col("_n") == 0) | ((F.col("_nulls") == 0) & F.col(column).isNotNull())).drop("_n", "_nulls")
+
+
+def range_counts(events: DataFrame, key: str, time: str, seconds: int) -> DataFrame:
+    """``events`` with ``n``: rows of their ``key`` from ``seconds`` before up to their time, ties included.
+
+    Rows are dealt by key and time bucket of that length. A row looks back into one earlier bucket
+    at most, so each is also handed, as a mere time, to the next one; no task holds a whole key.
+    Rows with a null time count 0.
+    """
+    second = F.unix_micros(F.col(time).cast("timestamp"))
+    length = seconds * 1_000_000
+    timed = events.withColumn("_t", second).withColumn("_bucket", F.floor(F.col("_t") / length))
+    own = timed.select(F.struct(*[F.col(f"`{c}`") for c in events.columns]).alias("_row"), F.col(key).alias("_key"), "_t", "_bucket")
+    ahead = own.where("_t is not null").select(F.lit(None).cast(own.schema["_row"].dataType).alias("_row"), "_key", "_t", (F.col("_bucket") + 1).alias("_bucket"))
+    frame = Window.partitionBy("_key", "_bucket").orderBy("_t").rangeBetween(-length, 0)
+    counted = own.union(ahead).withColumn("_n", F.when(F.col("_t").isNull(), 0).otherwise(F.count("*").over(frame)))
+    return counted.where("_row is not null").select(*[F.col(f"_row.`{c}`").alias(c) for c in events.columns], F.col("_n").alias("n"))
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: str, salts: int = 16, how: str = "inner") -> DataFrame:
-    """Equi-join whose hot keys are split: ``big``'s rows get one of ``salts`` numbers, ``small``'s are repeated for each."""
+    """Equi-join whose hot keys are split: ``big``'s rows are dealt over ``salts`` numbers, ``small``'s are repeated for each.
+
+    The numbers follow the rows' places within their partitions, so equal rows are split too.
+    """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("only joins that keep the big side's rows can be salted")
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
+    left = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return left.join(right, [on, "_salt"], how).drop("_salt")

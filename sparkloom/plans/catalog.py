@@ -173,14 +173,127 @@ def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.dot("embedding", "embedding"), 6).alias("square"), F.round(vectors.l2_distance("embedding", ones), 6).alias("to_ones"))
 
 
-def _geometric_mean(values: pd.Series) -> float:
-    return float(np.exp(np.log(values).mean()))
+def _largest_gap(values: pd.Series) -> float:
+    return float(np.diff(np.sort(values)).max(initial=0.0))
 
 
 @query("SELECT o_orderstatus, round(exp(avg(ln(o_totalprice))), 4) AS mean FROM orders GROUP BY o_orderstatus")
 def geometric_mean_udaf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mean = F.pandas_udf(_geometric_mean, "double")
-    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.round(mean("o_totalprice"), 4).alias("mean"))
+    """A user's aggregate as an expression of built-in ones, so that it is combined before the exchange."""
+    mean = F.exp(F.avg(F.ln("o_totalprice")))
+    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.round(mean, 4).alias("mean"))
+
+
+@query("""
+WITH g AS (SELECT o_custkey, o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_totalprice) AS gap FROM orders)
+SELECT o_custkey, round(coalesce(max(gap), 0), 2) AS gap FROM g GROUP BY o_custkey""")
+def largest_gaps_pandas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pandas aggregate, for groups that are known to be small (the orders of one customer)."""
+    gap = F.pandas_udf(_largest_gap, "double")
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.round(gap("o_totalprice"), 2).alias("gap"))
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+def null_aware_not_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.not_in(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", table(spark, sf_dir, "lineitem").where("l_quantity > 45"), "l_partkey")
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n FROM events")
+def range_frame_last_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.range_counts(table(spark, sf_dir, "events").select("event_id", "event_type", "ts"), "event_type", "ts", 3600).select("event_id", "n")
+
+
+@query("SELECT event_type, round(median(value), 6) AS mid FROM events GROUP BY event_type")
+def medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = aggregates.exact_median(table(spark, sf_dir, "events"), "event_type", "value", "mid")
+    return found.select("event_type", F.round("mid", 6).alias("mid"))
+
+
+@query("SELECT event_type, true AS near_distinct, true AS near_median FROM events GROUP BY event_type")
+def sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether HyperLogLog and quantile sketches, merged from daily ones, come within 5 percent of the exact answers."""
+    events = table(spark, sf_dir, "events")
+    daily = events.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.hll_sketch_agg("user_id").alias("users"))
+    merged = daily.groupBy("event_type").agg(F.hll_sketch_estimate(F.hll_union_agg("users")).alias("about"))
+    exact = events.groupBy("event_type").agg(F.count_distinct("user_id").alias("n"), F.percentile_approx("value", 0.5, 10_000).alias("mid"), F.max("value").alias("top"))
+    middle = aggregates.exact_median(events, "event_type", "value", "median")
+    both = merged.join(exact, "event_type").join(middle, "event_type")
+    return both.select("event_type", (F.abs(F.col("about") - F.col("n")) <= 0.05 * F.col("n") + 1).alias("near_distinct"), (F.abs(F.col("mid") - F.col("median")) <= 0.05 * F.col("top")).alias("near_median"))
+
+
+@query("""
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, TRY_CAST(event_type AS BIGINT) IS NULL AS not_a_number, '{"k":' || json_extract_string(props, '$.k') || '}' AS back
+FROM events""")
+def json_and_try_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("p", F.from_json("props", "k BIGINT"))
+    return events.select("event_id", "p.k", F.col("event_type").try_cast("bigint").isNull().alias("not_a_number"), F.to_json("p").alias("back"))
+
+
+@query("SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, max(event_id) AS last_id FROM events GROUP BY 1")
+def variant_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.variant_get(F.try_parse_json("props"), "$.k", "bigint")
+    return table(spark, sf_dir, "events").groupBy(k.alias("k")).agg(F.max("event_id").alias("last_id"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest FROM documents")
+def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+
+
+@query("""
+SELECT user_id, count(DISTINCT event_type) AS kinds, max(n) AS most FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type) GROUP BY user_id""")
+def maps_of_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    maps = counts.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    kept = F.map_filter("m", lambda k, v: v > 0)
+    return maps.select("user_id", F.size(kept).cast("long").alias("kinds"), F.array_max(F.map_values(kept)).alias("most"))
+
+
+@query("""
+SELECT doc_id, regexp_replace(text, '[0-9]+', '#', 'g') = text AS no_digits, len(regexp_extract_all(text, '[A-Z][a-z]+')) AS n_names, regexp_matches(text, 'https?://') AS has_link FROM documents""")
+def regular_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(
+        "doc_id", (F.regexp_replace("text", "[0-9]+", "#") == F.col("text")).alias("no_digits"),
+        F.size(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))).cast("long").alias("n_names"), F.col("text").rlike("https?://").alias("has_link"),
+    )
+
+
+@query("SELECT c_custkey AS k, c_name AS name, NULL AS region FROM customer WHERE c_acctbal < -900 UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = table(spark, sf_dir, "customer").where("c_acctbal < -900").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("k"))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    return people.unionByName(nations, allowMissingColumns=True).select("k", "name", "region")
+
+
+@query("""
+SELECT event_type, count(*) FILTER (WHERE dayofweek(ts) = 0) AS sunday, count(*) FILTER (WHERE dayofweek(ts) = 1) AS monday, count(*) FILTER (WHERE dayofweek(ts) = 2) AS tuesday,
+  count(*) FILTER (WHERE dayofweek(ts) = 3) AS wednesday, count(*) FILTER (WHERE dayofweek(ts) = 4) AS thursday, count(*) FILTER (WHERE dayofweek(ts) = 5) AS friday,
+  count(*) FILTER (WHERE dayofweek(ts) = 6) AS saturday
+FROM events GROUP BY event_type""")
+def whole_week_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday"]
+    counts = table(spark, sf_dir, "events").select("event_type", F.dayofweek("ts").alias("d")).groupBy("event_type").pivot("d", list(range(1, 8))).count()
+    return counts.select("event_type", *[F.coalesce(f"`{k}`", F.lit(0).cast("long")).alias(n) for k, n in enumerate(names, 1)])
+
+
+@query("""
+WITH marked AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+numbered AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM marked)
+SELECT user_id, min(ts) AS started, count(*) AS n FROM numbered GROUP BY user_id, s HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream's closed sessions; those the watermark has not passed stay open."""
+    events = windows.event_time(stream(spark, sf_dir, "events"), "ts", "1 hour")
+    return windows.run_to_files(windows.session_counts(events, "ts", "30 minutes", "user_id"))
+
+
+@query("""
+WITH w AS (SELECT date_trunc('day', ts) + INTERVAL 12 HOUR * CAST(k AS INT) + INTERVAL 12 HOUR * CAST(extract(HOUR FROM ts) >= 12 AS INT) - INTERVAL 12 HOUR AS started, event_type
+FROM events, (SELECT unnest([0, 1]) AS k))
+SELECT started, event_type, count(*) AS n FROM w GROUP BY started, event_type HAVING started + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def streamed_sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = windows.event_time(stream(spark, sf_dir, "events"), "ts", "1 hour")
+    return windows.run_to_files(windows.tumbling(events, "ts", "1 day", ["event_type"], slide="12 hours"))
 
 
 @query("""

@@ -24,8 +24,6 @@ SELECT o_orderpriority, count(*) AS n FROM {orders}
 WHERE EXISTS (SELECT 1 FROM {lineitem} WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') GROUP BY o_orderpriority""",
     "anti_join_not_exists": """
 SELECT o_orderkey, o_custkey FROM {orders} WHERE NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_orderkey = o_orderkey)""",
-    "null_aware_not_in": """
-SELECT p_partkey FROM {part} WHERE p_partkey NOT IN (SELECT l_partkey FROM {lineitem} WHERE l_quantity > 45)""",
     "correlated_average": """
 SELECT round(sum(l.l_extendedprice) / 7.0, 2) AS yearly FROM {lineitem} l JOIN {part} ON p_partkey = l.l_partkey
 WHERE p_size < 10 AND l.l_quantity < (SELECT 0.5 * avg(i.l_quantity) FROM {lineitem} i WHERE i.l_partkey = p_partkey)""",
@@ -46,7 +44,7 @@ SELECT event_type, count(*) FILTER (WHERE value > 50) AS high, count(*) FILTER (
 FROM {events} GROUP BY event_type""",
     "statistics": """
 SELECT event_type, round(stddev_samp(value), 6) AS sd, round(var_pop(value), 6) AS var, round(corr(value, user_id), 6) AS r,
-  round(covar_samp(value, user_id), 4) AS cov, min(value) AS low, max(value) AS high, round(median(value), 6) AS mid FROM {events} GROUP BY event_type""",
+  round(covar_samp(value, user_id), 4) AS cov, min(value) AS low, max(value) AS high FROM {events} GROUP BY event_type""",
     "extreme_rows": """
 SELECT user_id, max_by(event_type, ts) AS last_type, min_by(event_type, ts) AS first_type, max(ts) AS last_ts FROM {events} GROUP BY user_id""",
     "union_all_and_distinct": """
@@ -68,8 +66,6 @@ FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
 SELECT o_orderkey, CAST(sum(cents) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS so_far,
   CAST(sum(cents) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS recent
 FROM (SELECT o_orderkey, o_custkey, o_orderdate, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM {orders})""",
-    "range_frame_last_hour": """
-SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n FROM {events}""",
     "share_of_total": """
 SELECT p_brand, n, round(CAST(n AS DOUBLE) * 100 / sum(n) OVER (), 4) AS share, round(cume_dist() OVER (ORDER BY n, p_brand), 6) AS cd
 FROM (SELECT p_brand, count(*) AS n FROM {part} GROUP BY p_brand)""",
@@ -96,6 +92,25 @@ SELECT s_suppkey, round(sqrt(abs(s_acctbal)), 6) AS root, floor(s_acctbal) AS lo
 SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM {documents} GROUP BY md5(text) HAVING count(*) > 1""",
     "turns_by_role": """
 SELECT role, count(*) AS n, max(turn) AS last_turn, CAST(sum(length(text)) AS BIGINT) AS chars FROM {conversations} GROUP BY role""",
+    "right_join_nations": """
+SELECT n_nationkey, count(s_suppkey) AS n FROM (SELECT s_suppkey, s_nationkey FROM {supplier} WHERE s_acctbal > 8000) RIGHT JOIN {nation} ON s_nationkey = n_nationkey GROUP BY n_nationkey""",
+    "cross_join_regions": """
+SELECT a.r_name AS a, b.r_name AS b, a.r_regionkey * 10 + b.r_regionkey AS k FROM {region} a CROSS JOIN {region} b""",
+    "lateral_customer_maxima": """
+SELECT n_nationkey, t.c_custkey, t.c_acctbal FROM {nation},
+  LATERAL (SELECT max(c_acctbal) AS c_acctbal, max(c_custkey) AS c_custkey, count(*) AS n FROM {customer} WHERE c_nationkey = n_nationkey) t WHERE t.n > 0""",
+    "intersect_all": """
+SELECT c_nationkey AS k FROM {customer} INTERSECT ALL SELECT s_nationkey FROM {supplier}""",
+    "more_windows": """
+SELECT o_orderkey, round(percent_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 6) AS pr,
+  nth_value(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second_key FROM {orders}""",
+    "grouping_ids": """
+SELECT l_returnflag, l_linestatus, CAST(GROUPING_ID(l_returnflag, l_linestatus) AS BIGINT) AS g, count(*) AS n FROM {lineitem} GROUP BY ROLLUP (l_returnflag, l_linestatus)""",
+    "boolean_and_bit_aggregates": """
+SELECT event_type, bool_and(value >= 0) AS never_negative, bit_and(event_id) AS ba, bit_or(event_id) AS bo, bit_xor(event_id) AS bx, count_if(value > 50) AS high FROM {events} GROUP BY event_type""",
+    "regressions": """
+SELECT o_orderpriority, round(regr_slope(o_totalprice, o_custkey), 6) AS slope, round(regr_r2(o_totalprice, o_custkey), 9) AS r2, round(regr_count(o_totalprice, o_custkey), 0) AS n
+FROM {orders} GROUP BY o_orderpriority""",
     "labelled_documents": """
 SELECT lang, quality, toxic, count(*) AS n FROM {documents} JOIN {labels} USING (doc_id) GROUP BY lang, quality, toxic""",
 }

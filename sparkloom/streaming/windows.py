@@ -34,9 +34,16 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, left_time: str, r
 
 
 def run_to_files(rows: DataFrame) -> DataFrame:
-    """Runs a stream over all that is there, into files of the shared checkpoint folder, and reads them back."""
+    """Runs a stream over all that is there, into files of the shared checkpoint folder, and reads them back.
+
+    Without ``spark.checkpoint.dir`` a temporary folder is used where all runs in one process; on a cluster that is an error.
+    """
     spark: SparkSession = rows.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stream-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="stream-")
     folder = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
     query = rows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).outputMode("append").start()
     query.awaitTermination()

@@ -75,3 +75,36 @@ def test_streams_read_files_and_directories(spark, tmp_path):
     for name in ("parts", "days", "file"):
         found = windows.run_to_files(tables.stream(spark, str(tmp_path), name)).select("id", "day")
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, tables.table(spark, str(tmp_path), name).select("id", "day").collect())) == [(i, i % 3) for i in range(100)], name
+
+
+def test_not_in_follows_sql(spark):
+    rows = spark.createDataFrame([(1,), (2,), (None,), (2,)], "k int")
+    for others in ([], [(2,)], [(2,), (2,), (9,)], [(2,), (None,)], [(None,)]):
+        table = spark.createDataFrame(others, "o int")
+        rows.createOrReplaceTempView("rows_")
+        table.createOrReplaceTempView("others_")
+        want = sorted(map(str, spark.sql("SELECT k FROM rows_ WHERE k NOT IN (SELECT o FROM others_)").collect()))
+        assert sorted(map(str, joins.not_in(rows, "k", table, "o").collect())) == want, others
+
+
+def test_range_counts_equal_a_range_frame(spark):
+    rng = __import__("random").Random(5)
+    rows = [(i, rng.choice("ab"), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randrange(600))) for i in range(400)] + [(900, "a", None), (901, None, day(1))]
+    events = spark.createDataFrame(rows, "id long, k string, t timestamp_ntz")
+    events.createOrReplaceTempView("events_")
+    want = spark.sql("SELECT id, count(*) OVER (PARTITION BY k ORDER BY t RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n FROM events_ WHERE t IS NOT NULL").collect()
+    found = joins.range_counts(events, "k", "t", 3600).select("id", "n").collect()
+    assert {r.id: r.n for r in found} == {**{r.id: r.n for r in want}, 900: 0}
+
+
+def test_exact_median(spark):
+    rows = [("a", float(x % 7)) for x in range(50)] + [("b", 3.0)] * 4 + [("c", None), ("d", -1.5), ("d", 9.0), ("e", 1.0), ("e", 2.0), ("e", 50.0)]
+    values = spark.createDataFrame(rows, "g string, v double")
+    want = {r.g: r.m for r in values.groupBy("g").agg(F.median("v").alias("m")).collect() if r.m is not None}
+    assert {r.g: r.m for r in aggregates.exact_median(values, "g", "v", "m").collect()} == want
+
+
+def test_text_files_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("one line",), ("",), ("zwei é",)], "value string")
+    tables.write(rows, str(tmp_path / "text"), "text")
+    assert sorted(r.value for r in tables.read(spark, str(tmp_path / "text"), "text").collect()) == ["", "one line", "zwei é"]
