@@ -42,3 +42,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = moved.drop("was")
         if not changed:
             return labels
+
+
+def tree_roots(parents: DataFrame) -> DataFrame:
+    """``node, component`` for every row of ``parents(node, parent)``; the component is the root of its tree.
+
+    A node has one parent, which is smaller. In each round every node takes the parent of
+    its parent, so a chain of n nodes takes about log n rounds. A parent with very many
+    nodes is split by the adaptive skew join, as the other side has one row.
+    """
+    while True:
+        up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("further"))
+        moved = cut(parents.join(up, "parent", "left").select("node", F.coalesce("further", "parent").alias("parent"), F.col("further").isNotNull().alias("moved")))
+        parents = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            return parents.select("node", F.col("parent").alias("component"))

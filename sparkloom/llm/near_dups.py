@@ -7,19 +7,20 @@ functions are drawn. Bands of ``rows`` coordinates are hashed to bucket keys.
 With 32 bands of 4 a pair at Jaccard 0.8 shares no bucket with probability 5e-8.
 
 Links without all pairs of a bucket. Texts of equal shingle sets are one class
-and only its smallest id goes on. In every bucket each class is compared with
-the bucket's smallest id alone, and confirmed links give first components. Only
-buckets that still hold several components are looked at again: a class whose
-shingles occur too rarely among those classes can have no partner and leaves
-(an exact bound), and the rest are joined across components with the exact test
-inside the join condition, so only true links leave the join.
+and only its smallest id goes on. The smallest id of a bucket is its pivot. Each
+class is compared with the smallest of its pivots first, which gives trees, then
+with its other pivots where these are not in its tree yet. Only buckets that still
+hold several components are looked at again: a class whose shingles occur too
+rarely among those classes can have no partner and leaves (an exact bound), and
+the rest are joined across components with the exact test inside the join
+condition, so only true links leave the join.
 
 Defined cases: a null or wordless text has no shingles, links with nothing and
 is its own component; a text of fewer words than the shingle width is one
 shingle; repeated rows share their component and are all kept if theirs is the
-component's smallest id; an id on several texts is one node, and texts of one id that have
-equally many shingles are not told apart in the search for links; very long texts are handled whole, one at a time; an empty table
-gives no rows; further columns, whatever their names, are ignored.
+component's smallest id; an id on several texts is one node with the links of all of
+them; very long texts are handled whole, one at a time; an empty table gives no rows;
+further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, pieces
-from .graph import connected_components
+from .graph import connected_components, tree_roots
 from .shingles import mix64, shingle_sets
 
 STRIDE = np.uint32(0x9E3779B1)  # odd, so the shifts of the circle are all different
@@ -87,9 +88,10 @@ def _sets(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1, 1 << 20):
             sets = shingle_sets(batch.column(1).to_pylist(), width)
-            own = np.array([len(s) for s in sets], np.int64) == batch.column(2).to_numpy()
-            rows = pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["rep", "shingles"])
-            yield rows.filter(pa.array(own, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), *batch.columns[2:]],
+                names=["rep", "n", "shingles", *batch.schema.names[2:]],
+            )
 
     return run
 
@@ -122,13 +124,18 @@ def near_duplicates(
     buckets = members.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("_size")).where("_size > 1")
     live = cut(members.join(buckets.drop("_size"), "key"))
 
-    sizes = live.select("rep", "n").distinct()
-    # Repeated rows give one set each; one is enough. Further texts of an id are told by their number of shingles.
-    sets = cut(
-        slim.join(sizes, F.col("id") == F.col("rep")).select("id", "text", "n")
-        .mapInArrow(_sets(width), f"rep {kind}, shingles array<long>")
-        .dropDuplicates(["rep"])
+    # Not cut, so that the adaptive join with the texts sees its measured size.
+    heads = (
+        live.groupBy("rep").agg(F.min(F.struct("pivot", "n")).alias("_least"), F.max(F.col("rep") == F.col("pivot")).alias("leads"))
+        .select("rep", F.col("_least.pivot").alias("first"), F.col("_least.n").alias("n_first"), "leads")
+    )
+    sets = slim.join(heads, F.col("id") == F.col("rep")).select("rep", "text", "first", "n_first", "leads").mapInArrow(
+        _sets(width), f"rep {kind}, n long, shingles array<long>, first {kind}, n_first long, leads boolean"
     )
+    # Only a table with repeated ids pays for an exchange of the sets that leaves one of equal ones.
+    repeated = not signed.where("n > 0").groupBy("id").count().where("count > 1").isEmpty()
+    sets = cut(sets.distinct() if repeated else sets)
+    pivot_sets = sets.where("leads").select(F.col("rep").alias("pivot"), F.col("n").alias("n_pivot"), F.col("shingles").alias("others"))
 
     def linked(a: str, b: str, n_a: str, n_b: str) -> F.Column:
         common = F.size(F.array_intersect(a, b)).cast("long")
@@ -137,28 +144,39 @@ def near_duplicates(
     def near_size(n_a: str, n_b: str) -> F.Column:
         return 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
 
-    stars = live.where("rep <> pivot").select("rep", "n", "pivot").distinct()
-    star_links = cut(
-        stars.join(sizes.select(F.col("rep").alias("pivot"), F.col("n").alias("n_pivot")), "pivot")
-        .where(near_size("n", "n_pivot"))
-        .join(sets, "rep")
-        .join(sets.select(F.col("rep").alias("pivot"), F.col("shingles").alias("others")), "pivot")
-        .where(linked("shingles", "others", "n", "n_pivot"))
-        .select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-    )
-    first = connected_components(star_links)
-
-    placed = live.join(first, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("key")
-    open_ = cut(placed.join(mixed, "key", "left_semi"))
+    def with_pivot(rows: DataFrame) -> DataFrame:
+        return rows.join(pivot_sets, "pivot").where(near_size("n", "n_pivot") & linked("shingles", "others", "n", "n_pivot"))
+
+    trees = with_pivot(sets.where("n = n_first and first < rep").select("rep", "n", "shingles", F.col("first").alias("pivot")))
+    roots = tree_roots(trees.select(F.col("rep").alias("node"), F.col("pivot").alias("parent")).distinct())
+    known = cut(heads.join(roots, F.col("rep") == F.col("node"), "left").select("rep", "first", "n_first", F.coalesce("component", "rep").alias("comp")))
+
+    # Classes that are not in the tree of one of their pivots. All else of a bucket is one component.
+    apart = cut(
+        live.where("pivot < rep").join(known, "rep")
+        .join(known.select(F.col("rep").alias("pivot"), F.col("comp").alias("comp_pivot")), "pivot")
+        .where("comp <> comp_pivot")
+        .select("key", "rep", "n", "pivot", "comp", "comp_pivot", F.expr("pivot = first and n = n_first").alias("tested"))
+    )
+    pairs = apart.where("not tested").select("rep", "n", "pivot", "comp", "comp_pivot").distinct()
+    star_links = cut(with_pivot(pairs.join(sets.select("rep", "n", "shingles"), ["rep", "n"])).select(F.col("comp").alias("a"), F.col("comp_pivot").alias("b")).distinct())
+    merged = connected_components(star_links)
+
+    def renamed(rows: DataFrame, comp: str) -> DataFrame:
+        onward = merged.select(F.col("node").alias(comp), F.col("component").alias("_onward"))
+        return rows.join(onward, comp, "left").withColumn(comp, F.coalesce("_onward", comp)).drop("_onward")
+
+    mixed = renamed(renamed(apart.select("key", "comp", "comp_pivot"), "comp"), "comp_pivot").where("comp <> comp_pivot").select("key").distinct()
+    open_ = cut(renamed(live.join(mixed, "key", "left_semi").join(known.select("rep", "comp"), "rep"), "comp").select("key", "rep", "n", "comp"))
     # A partner must hold percent/100 of a class's shingles, so at least so many of them occur in another class here.
-    open_sets = sets.join(open_.select("rep").distinct(), "rep", "left_semi")
-    tokens = open_sets.select("rep", F.explode("shingles").alias("shingle"))
+    own = ["rep", "n"]
+    open_sets = sets.select(*own, "shingles").join(open_.select(*own).distinct(), own, "left_semi")
+    tokens = open_sets.select(*own, F.explode("shingles").alias("shingle"))
     shared = tokens.groupBy("shingle").agg(F.count("*").alias("_in")).where("_in > 1").select("shingle")
-    common = tokens.join(shared, "shingle", "left_semi").groupBy("rep").agg(F.count("*").alias("c"))
-    rest = cut(open_.join(common, "rep").where(100 * F.col("c") >= percent * F.col("n")))
+    common = tokens.join(shared, "shingle", "left_semi").groupBy(*own).agg(F.count("*").alias("c"))
+    rest = cut(open_.join(common, own).where(100 * F.col("c") >= percent * F.col("n")))
     still = rest.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("key")
-    rest = rest.join(still, "key", "left_semi").join(sets, "rep")
+    rest = rest.join(still, "key", "left_semi").join(sets.select(*own, "shingles"), own)
     left = rest.select("key", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "comp", "c", "shingles")))
     right = rest.select("key", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "comp", "c", "shingles")))
     bound = (100 + percent) * F.least("c_a", "c_b") >= percent * (F.col("n_a") + F.col("n_b"))
@@ -167,11 +185,15 @@ def near_duplicates(
             right,
             (left.key == right.key) & (F.col("comp_a") < F.col("comp_b")) & near_size("n_a", "n_b") & bound & linked("shingles_a", "shingles_b", "n_a", "n_b"),
         )
-        .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+        .select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
         .distinct()
     )
     cross_links = cut(cross_links)
-    final = first if cross_links.isEmpty() else connected_components(star_links.union(cross_links))
+    if not cross_links.isEmpty():
+        merged = connected_components(star_links.union(cross_links))
+    final = renamed(roots.select("node", F.col("component").alias("comp")), "comp").unionByName(
+        merged.join(roots, "node", "left_anti").select("node", F.col("component").alias("comp"))
+    )
 
     joined = (
         signed.drop("bands")
@@ -181,6 +203,6 @@ def near_duplicates(
     return joined.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.coalesce("component", "rep", "id").alias("component_id"),
+        F.coalesce("comp", "rep", "id").alias("component_id"),
         *(["text_hash"] if keep_hash else []),
     ).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
