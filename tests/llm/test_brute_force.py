@@ -399,3 +399,16 @@ def test_one_id_on_two_texts_loses_only_the_copy(spark, tmp_path):
 def test_wide_shingles(spark):
     docs = spark.createDataFrame([(1, " ".join(map(str, range(60)))), (2, " ".join(map(str, range(61)))), (3, "1 2")], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs, width=20).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_every_text_of_an_id_is_linked_and_roots_are_found(spark):
+    def words(letter, changed=()):
+        return " ".join(f"{letter}{i}x" if i in changed else f"{letter}{i}" for i in range(60))
+
+    # Id 5 stands on two texts of equally many shingles; each is near another text.
+    rows = [(5, words("a")), (5, words("b")), (5, words("b")), (7, words("a", {59})), (8, words("b", {59})), (9, words("c")), (None, words("c", {0}))]
+    found = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=5, percent=80)
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in found.collect()) == [(0, 0), (5, 5), (5, 5), (5, 5), (7, 5), (8, 5), (9, 9)]
+
+    chain = spark.createDataFrame([(i, i - 1) for i in range(1, 40)] + [(100, 50)], "node long, parent long")
+    assert {(r.node, r.component) for r in graph.tree_roots(chain).collect()} == {(i, 0) for i in range(1, 40)} | {(100, 50)}
