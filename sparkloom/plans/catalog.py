@@ -321,3 +321,135 @@ def streamed_click_to_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pairs = windows.interval_join(side("click", "click"), side("purchase", "purchase"), "user_id", "click_ts", "purchase_ts", "6 hours")
     return windows.run_to_files(pairs).select("click_id", "purchase_id")
+
+
+@query("SELECT o_orderstatus, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders WHERE o_totalprice > 1000 GROUP BY o_orderstatus")
+def pipe_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "FROM {orders} |> WHERE o_totalprice > 1000 |> AGGREGATE count(*) AS n, count(DISTINCT o_custkey) AS customers GROUP BY o_orderstatus"
+    return spark.sql(text, orders=table(spark, sf_dir, "orders"))
+
+
+@query("SELECT c_nationkey, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS segments, len(list(DISTINCT c_mktsegment)) AS n FROM customer GROUP BY c_nationkey")
+def listed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of distinct values; a segment is one of a few, so the lists stay short."""
+    segments = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.collect_set("c_mktsegment").alias("s"))
+    return segments.select("c_nationkey", F.array_join(F.array_sort("s"), ",").alias("segments"), F.size("s").cast("long").alias("n"))
+
+
+@query("SELECT event_type, round(kurtosis_pop(value), 6) AS kurt, round(skewness(value), 6) AS skew FROM events GROUP BY event_type")
+def higher_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The skewness is the sample's, with its correction for small groups."""
+    n = F.count("value")
+    skew = F.skewness("value") * F.sqrt(n * (n - 1)) / (n - 2)
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.kurtosis("value"), 6).alias("kurt"), F.round(skew, 6).alias("skew"))
+
+
+@query("""
+SELECT o_orderkey, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS days, last_day(o_orderdate) AS month_end, CAST(dayofyear(o_orderdate) AS INT) AS doy,
+  CAST(weekofyear(o_orderdate) AS INT) AS week, CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH AS DATE) AS next_month, strftime(o_orderdate, '%Y/%m') AS label
+FROM orders""")
+def date_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.to_date("o_orderdate")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.datediff(day, F.lit("1990-01-01").cast("date")).cast("long").alias("days"), F.last_day(day).alias("month_end"), F.dayofyear(day).alias("doy"),
+        F.weekofyear(day).alias("week"), F.add_months(day, 1).alias("next_month"), F.date_format("o_orderdate", "yyyy/MM").alias("label"),
+    )
+
+
+@query("""
+SELECT p_partkey, array_to_string(list_sort(list_distinct(string_split(p_name, ' '))), ' ') AS words, len(string_split(p_name, ' ')) AS n,
+  list_contains(string_split(p_name, ' '), 'red') AS red, CAST(length(replace(p_name, ' ', '')) AS BIGINT) AS letters FROM part""")
+def array_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.split("p_name", " ")
+    letters = F.aggregate(F.transform(words, lambda w: F.length(w).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", F.array_join(F.array_sort(F.array_distinct(words)), " ").alias("words"), F.size(words).cast("long").alias("n"),
+        F.array_contains(words, "red").alias("red"), letters.alias("letters"),
+    )
+
+
+@query("""
+SELECT s_suppkey, 'balance' AS name, s_acctbal AS value FROM supplier UNION ALL SELECT s_suppkey, 'nation', CAST(s_nationkey AS DOUBLE) FROM supplier
+UNION ALL SELECT s_suppkey, 'key', CAST(s_suppkey AS DOUBLE) FROM supplier""")
+def inlined_structs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def named(name: str, column: str) -> F.Column:
+        return F.struct(F.lit(name).alias("name"), F.col(column).cast("double").alias("value"))
+
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.inline(F.array(named("balance", "s_acctbal"), named("nation", "s_nationkey"), named("key", "s_suppkey"))))
+
+
+@query("SELECT DISTINCT o_custkey, o_orderstatus FROM orders")
+def rows_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").dropDuplicates(["o_custkey", "o_orderstatus"]).select("o_custkey", "o_orderstatus")
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'error')")
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of whole strata, so that the sample is a defined set of rows."""
+    return table(spark, sf_dir, "events").sampleBy("event_type", {"click": 1.0, "error": 1.0, "view": 0.0}, seed=5).select("event_id", "event_type")
+
+
+@query("SELECT true AS about_a_third, true AS without_repeats")
+def random_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A share of the rows; the size may be off by six standard deviations."""
+    lines = table(spark, sf_dir, "events").select("event_id")
+    third = lines.sample(1 / 3, seed=5).agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("d")).crossJoin(lines.agg(F.count("*").alias("total")))
+    off = F.abs(F.col("n") - F.col("total") / 3)
+    return third.select((off <= 6 * F.sqrt(F.col("total") * 2 / 9)).alias("about_a_third"), (F.col("n") == F.col("d")).alias("without_repeats"))
+
+
+@query("SELECT c_custkey, max(o_totalprice) AS most, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+def lateral_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lateral join as a DataFrame; Catalyst turns it into one aggregation and one join."""
+    own = table(spark, sf_dir, "orders").where(F.col("o_custkey") == F.col("c_custkey").outer())
+    return table(spark, sf_dir, "customer").select("c_custkey").lateralJoin(own.select(F.max("o_totalprice").alias("most"), F.count("o_orderkey").alias("n")))
+
+
+@F.udtf(returnType="user_id BIGINT, event_type STRING, n BIGINT")
+class Streaks:
+    """Runs of equal kinds of events of one user, in order of time. Holds one run at a time."""
+
+    def __init__(self) -> None:
+        self.run: tuple | None = None
+        self.n = 0
+
+    def eval(self, row):  # noqa: ANN001, ANN201
+        run = row["user_id"], row["event_type"]
+        if run != self.run and self.n:
+            yield *self.run, self.n
+            self.n = 0
+        self.run, self.n = run, self.n + 1
+
+    def terminate(self):  # noqa: ANN201
+        if self.n:
+            yield *self.run, self.n
+
+
+@query("""
+WITH m AS (SELECT user_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS g FROM events)
+SELECT user_id, event_type, count(*) AS n FROM m GROUP BY user_id, event_type, g""")
+def event_streaks_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table function over partitions in order; it holds one run, so a user may have any number of events."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "ts")
+    return Streaks(events.asTable().partitionBy("user_id").orderBy("ts"))
+
+
+def _above_balance(customers: pd.DataFrame, orders: pd.DataFrame) -> pd.DataFrame:
+    balances = customers["c_acctbal"]
+    return pd.DataFrame({"c_custkey": customers["c_custkey"], "above": [int((orders["o_totalprice"] > b).sum()) for b in balances]})
+
+
+@query("SELECT c_custkey, count(o_orderkey) FILTER (WHERE o_totalprice > c_acctbal) AS above FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+def cogrouped_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables by key in pandas, for groups that are known to be small (the orders of one customer)."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").groupBy("c_custkey")
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice").groupBy("o_custkey")
+    return customers.cogroup(orders).applyInPandas(_above_balance, "c_custkey long, above long")
+
+
+@query("SELECT user_id, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY user_id")
+def streamed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals in a state of the user's own; each batch gives the totals so far, and the last ones stay."""
+    totals = windows.running_totals(stream(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", "event_id")
+    last = windows.run_to_files(totals).groupBy("user_id")
+    return last.agg(F.max("n").alias("n"), F.max("last_id").alias("last_id"))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def event_time(events: DataFrame, time: str, delay: str) -> DataFrame:
@@ -33,6 +36,25 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, left_time: str, r
     return left.join(right, (left[key] == right[key]) & bounds).drop(right[key])
 
 
+def running_totals(events: DataFrame, key: str, number: str) -> DataFrame:
+    """``key, n, last_id``: rows so far and the largest ``number`` of each key, after each batch.
+
+    The state of a key is two numbers; a batch of a key arrives in slices, so its size is not bounded by memory.
+    """
+
+    def step(keys: tuple, slices: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, last = state.get if state.exists else (0, None)
+        for rows in slices:
+            n += len(rows)
+            top = rows[number].max()
+            last = last if pd.isna(top) else int(top) if last is None else max(last, int(top))
+        state.update((n, last))
+        yield pd.DataFrame({key: [keys[0]], "n": [n], "last_id": pd.array([last], "Int64")})
+
+    kind = dict(events.dtypes)[key]
+    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long, last_id long", "n long, last_id long", "append", GroupStateTimeout.NoTimeout)
+
+
 def run_to_files(rows: DataFrame) -> DataFrame:
     """Runs a stream over all that is there, into files of the shared checkpoint folder, and reads them back.
 
