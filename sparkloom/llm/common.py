@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +29,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept as a table in the shared checkpoint folder; its lineage ends there.
+
+    Unlike a checkpoint, the last stage runs once, and small files are read together, so a loop of
+    small steps over many partitions needs far fewer tasks.
+    """
+    spark = df.sparkSession
+    folder = f"{checkpoint_root(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text_at: int = 1, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of at most ``most`` text bytes each (one longer text stands alone)."""
     for batch in batches:

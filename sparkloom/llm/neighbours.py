@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import written
 
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -195,9 +195,9 @@ def build_index(
     # Of equal vectors only the k + 1 smallest ids can ever be answers; the rank limit applies before the exchange.
     nth = Window.partitionBy("v").orderBy("id")
     ranked = valid.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= k + 1)
-    ranked = cut(ranked.withColumn("node", F.min("id").over(Window.partitionBy("v"))))
+    ranked = written(ranked.withColumn("node", F.min("id").over(Window.partitionBy("v"))))
     nodes = ranked.where("nth = 1").select("node", "v")
-    sided = cut(nodes.mapInArrow(_projecting(projections, seed, kind), "node long, packed binary, sides array<double>"))
+    sided = written(nodes.mapInArrow(_projecting(projections, seed, kind), "node long, packed binary, sides array<double>"))
     packed = sided.select("node", "packed")
 
     first = None
@@ -205,7 +205,7 @@ def build_index(
         line = sided.select("node", "packed", F.col("sides")[p].alias("side")).repartitionByRange(parts, "side", "node").sortWithinPartitions("side", "node")
         edges = line.select("node", "packed").mapInArrow(_block_neighbours(block, max(degree // 2, k), kind), "a long, b long, d double")
         first = edges if first is None else first.union(edges)
-    graph = cut(_top(first.withColumn("fresh", F.lit(True)), degree))
+    graph = written(_top(first.withColumn("fresh", F.lit(True)), degree))
 
     while True:
         # A node with a short list takes any offer.
@@ -213,12 +213,12 @@ def build_index(
         known = packed.join(reach, F.col("node") == F.col("a"), "left").select("node", "packed", F.coalesce("radius", F.lit(float("inf"))).alias("radius"))
         pairs = _both_ways(graph, degree).join(known, F.col("x") == F.col("node")).select("u", "x", "packed", "radius")
         offered = pairs.repartition(parts, "u").sortWithinPartitions("u").mapInArrow(_local_join(offers, kind), "a long, b long, d double")
-        graph = cut(_top(graph.withColumn("fresh", F.lit(False)).union(offered.withColumn("fresh", F.lit(True))), degree))
+        graph = written(_top(graph.withColumn("fresh", F.lit(False)).union(offered.withColumn("fresh", F.lit(True))), degree))
         edges = graph.agg(F.count("*").alias("n"), F.count_if("fresh").alias("fresh")).first()
         if edges["fresh"] <= settled * edges["n"]:
             break
 
-    links = cut(_both_ways(graph, degree).select(F.col("u").alias("node"), F.col("x").alias("near")))
+    links = written(_both_ways(graph, degree).select(F.col("u").alias("node"), F.col("x").alias("near")))
     return Index(nodes, ranked.select("node", "id", "nth"), links, k + 1)
 
 
@@ -251,7 +251,7 @@ def search(
     """``query_id, rank, vec_id, score``: the ``k`` nearest found, a query's own id left out."""
     if k + 1 > index.most_members:
         raise ValueError("the index was built for fewer neighbours")
-    asked = cut(valid_vectors(queries, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v")))
+    asked = written(valid_vectors(queries, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v")))
     n_bytes = asked.agg(F.sum(F.size("v") * 8)).first()[0] or 0
     n_blocks = max(1, -(-n_bytes // block_bytes))
     found = None
@@ -274,7 +274,7 @@ def _search_block(index: Index, asked: DataFrame, k: int, width: int, entries: i
     entry = asked.select(F.col("id").alias("q"), F.explode(F.lit(gates).cast("array<long>")).alias("node"))
     start = own.union(entry).distinct()
     far = F.lit(float("inf"))
-    beam = cut(
+    beam = written(
         start.withColumn("worst", far).join(index.nodes, "node").select("q", "node", "worst", "v")
         .mapInArrow(_measuring(handle), "q long, node long, d double").withColumn("done", F.lit(False))
     )
@@ -290,7 +290,7 @@ def _search_block(index: Index, asked: DataFrame, k: int, width: int, entries: i
             .mapInArrow(_measuring(handle), "q long, node long, d double")
         )
         both = beam.select("q", "node", "d", F.lit(True).alias("done")).union(fresh.withColumn("done", F.lit(False)))
-        beam = cut(both.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= width).drop("nth"))
+        beam = written(both.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= width).drop("nth"))
         if beam.where("not done").isEmpty():
             break
 
