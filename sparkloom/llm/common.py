@@ -29,16 +29,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept as a table in the shared checkpoint folder; its lineage ends there.
+def placed(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` computed once and kept as a table in the shared checkpoint folder, and that table's folder.
 
-    Unlike a checkpoint, the last stage runs once, and small files are read together, so a loop of
-    small steps over many partitions needs far fewer tasks.
+    Its lineage ends there. Unlike a checkpoint, the last stage runs once, and small files are read
+    together, so a loop of small steps over many partitions needs far fewer tasks. ``removed`` frees
+    the disk when a later step has taken the table's place.
     """
     spark = df.sparkSession
     folder = f"{checkpoint_root(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder), folder
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The table of ``placed`` alone, for results that stay."""
+    return placed(df)[0]
+
+
+def removed(spark: SparkSession, *folders: str) -> None:
+    """Deletes tables that ``placed`` made."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text_at: int = 1, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

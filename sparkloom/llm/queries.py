@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, languages, licences, near_dups, neighbours, oracles, pieces, sharding, token_counts, toxicity
+from . import centroids, conversation_repair, decontamination, fuzzy_prints, html_text, languages, licences, near_dups, neighbours, oracles, pieces, sharding, token_counts, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,6 +16,8 @@ ORACLE: dict[str, str] = {
     "op4_benchmark_decontamination": oracles.DECONTAMINATION,
     "op5_sharding": oracles.SHARDING,
     "op8_minhash_near_dedup": oracles.NEAR_DEDUP,
+    "op11_centroid_clustering": oracles.CENTROIDS,
+    "op13_conversation_repair": oracles.REPAIR,
 }
 
 
@@ -110,3 +112,18 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         "log_p",
         "inclusion",
     )
+
+
+@query
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_prints.near_duplicates(read(spark, sf_dir, "documents"), width=4)
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired(conversation_repair.damaged(read(spark, sf_dir, "conversations")))
