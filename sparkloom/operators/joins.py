@@ -87,3 +87,32 @@ def salted_join(big: DataFrame, small: DataFrame, on: str, salts: int = 16, how:
     left = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return left.join(right, [on, "_salt"], how).drop("_salt")
+
+
+def planned_bytes(rows: DataFrame) -> int:
+    """What Spark takes the size of ``rows`` for: file sizes, cut by pruned columns; a huge number where nothing is known."""
+    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def sized_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner", limit: int = 64 << 20, rows_limit: int = 1_000_000) -> DataFrame:
+    """Equi-join whose strategy follows the sides' sizes, read before a hint is given.
+
+    A side is broadcast only if its planned size is within ``limit`` and, as files may be packed many times smaller
+    than their rows, a count that stops at ``rows_limit`` finds no more rows than that. Else, if one side's planned size is
+    a fifth of the other's or less, hash tables of its partitions are built (shuffle hash); else both are sorted (merge),
+    which needs no memory for either. Sides that an outer join must keep are never broadcast.
+    """
+    sizes = {"left": planned_bytes(left), "right": planned_bytes(right)}
+    may = {"inner": ("left", "right"), "cross": (), "full": (), "full_outer": (), "fullouter": (), "outer": (), "right": ("left",), "right_outer": ("left",), "rightouter": ("left",)}.get(how, ("right",))
+    sides = {"left": left, "right": right}
+    for side in sorted(may, key=lambda s: sizes[s]):
+        if sizes[side] <= limit and sides[side].limit(rows_limit + 1).count() <= rows_limit:
+            sides[side] = F.broadcast(sides[side])
+            return sides["left"].join(sides["right"], on, how)
+    smaller = min(may, key=lambda s: sizes[s], default=None)
+    larger = max(sizes.values())
+    if smaller and sizes[smaller] * 5 <= larger:
+        sides[smaller] = sides[smaller].hint("shuffle_hash")
+    else:
+        sides["right"] = sides["right"].hint("merge")
+    return sides["left"].join(sides["right"], on, how)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -12,27 +11,12 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import vectors
 from sparkloom.operators import aggregates, joins
+from sparkloom.plans import formats, measures, streams  # noqa: F401  (their queries register themselves)
+from sparkloom.plans.registry import ORACLE, QUERIES, Query, query
 from sparkloom.plans.shared_sql import TEXTS
 from sparkloom.sources.tables import stream, table
 from sparkloom.streaming import windows
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a function under its own name, with the SQL that gives the same rows."""
-
-    def add(function: Query) -> Query:
-        QUERIES[function.__name__] = function
-        if sql:
-            ORACLE[function.__name__] = sql
-        return function
-
-    return add
-
-
 def _shared(text: str) -> Query:
     names = sorted(set(re.findall(r"\{(\w+)\}", text)))
     return lambda spark, sf_dir: spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sparkloom.sources.scratch import shared_folder
+
 
 def event_time(events: DataFrame, time: str, delay: str) -> DataFrame:
     return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
@@ -61,12 +61,7 @@ def run_to_files(rows: DataFrame) -> DataFrame:
     Without ``spark.checkpoint.dir`` a temporary folder is used where all runs in one process; on a cluster that is an error.
     """
     spark: SparkSession = rows.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="stream-")
-    folder = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "stream")
     query = rows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).outputMode("append").start()
     query.awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
