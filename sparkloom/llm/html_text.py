@@ -1,13 +1,19 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
 Every block element and every run of text in a block is a node with a hidden
-label, main text or not. Potentials between parent and child depend on the child's
-kind (a telling word of its class or id, else its tag); text runs have evidence
-from their length, the share of link text and their last character. The potentials
-are smoothed counts over labelled pages, gathered by Spark. On a page, sum-product
-messages pass from the leaves to the root and back, which yields each node's exact
-marginal; runs whose marginal is at least one half are kept. All pages of a batch
-pass messages together, one tree level at a time.
+label: a run is main text or not, an element holds main text or not. Potentials
+between parent and child depend on the child's kind (a telling word of its class or
+id, else its tag) and on the sort of its parent (a frame of the page, a plain container,
+or an element of text). Text runs have evidence from the element around them, their
+length, the share of link text and their last character; it counts by the run's length,
+so that short runs don't outweigh sentences. The potentials are smoothed counts over
+labelled pages, gathered by Spark. On a page, sum-product messages pass from the leaves to
+the root and back, which yields each node's exact marginal; runs whose marginal is at least
+one half are kept. All pages of a batch pass messages together, one tree level at a time.
+
+A name of several words tells its kind only if its other words say nothing ("site-nav-box");
+with further words ("river-navigation-history") it is a kind of its own, of which the labelled
+pages have both sorts. Line breaks, images, ruby and unknown hyphenated elements don't end a run.
 
 Defined cases: null, empty and text-free pages give an empty string; markup may be
 badly nested, and a tag or comment cut off by the end of the page is left out; a quote
@@ -22,6 +28,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -33,28 +40,72 @@ from .common import pieces
 from .labelled_pages import labelled_pages
 
 #: Fixed values of HTML: elements by their role.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset("base col embed hr input link meta param".split())
 RAW = frozenset("script style noscript template svg iframe object canvas math textarea".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset("a abbr acronym area audio b bdi bdo big br cite code data del dfn em font i img ins kbd map mark nobr picture q rb rp rt rtc ruby s samp small source span strike strong sub sup time track tt u var video wbr".split())
 TAGS = "html head title body header nav main article section aside footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption form fieldset label button select option address details summary hgroup center".split()
+#: Elements whose tag says more than a name with further words.
+OWN_KIND = frozenset("article main nav header footer aside form p h1 h2 h3 h4 h5 h6 li".split())
 #: A start tag ends an open element of these kinds, up to a boundary.
 CLOSES = {t: ("p",) for t in "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()}
 CLOSES |= {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",), "body": ("head",)}
 BOUNDS = frozenset("html body article aside div section main nav header footer ul ol dl table form blockquote figure select".split())
 #: Telling words of class and id names, in the order in which they are tried.
-NAME_KINDS = (
-    ("comment", re.compile(r"comment|disqus|repl(?:y|ies)|responses|discussion", re.I)),
-    ("ad", re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner)(?:$|[\s_-])", re.I)),
-    ("notice", re.compile(r"cookie|notice|consent|alert|popup|modal|newsletter|subscribe|gdpr", re.I)),
-    ("side", re.compile(r"sidebar|widget|rail|related|share|social|recommend", re.I)),
-    ("menu", re.compile(r"menu|nav|breadcrumb|toc\b|pagination|pager", re.I)),
-    ("foot", re.compile(r"footer|copyright|legal", re.I)),
-    ("head", re.compile(r"header|masthead|topbar", re.I)),
-    ("main", re.compile(r"content|article|post|entry|story|text|main", re.I)),
-)
-KINDS = {k: i for i, k in enumerate([*TAGS, *(f"#{k}" for k, _ in NAME_KINDS), "other", "text"])}
-TEXT_KIND = KINDS["text"]
-N_FEATURES = 6 * 3 * 2
+NAME_KINDS = {
+    "comment": "comments?|disqus|reply|replies|responses?|discussion",
+    "ad": "ads?|advert[a-z]*|sponsor(?:s|ed)?|promo[a-z]*|banner",
+    "notice": "cookies?|notices?|consent|alert|popup|modal|newsletter|subscribe|subscription|gdpr",
+    "side": "sidebar|side|widgets?|rail|related|shar(?:e|ing)|social|recommend[a-z]*",
+    "menu": "menu|nav|navigation|breadcrumbs?|toc|pagination|pager",
+    "foot": "foot|footer|copyright|legal",
+    "head": "header|masthead|topbar",
+    "main": "article|post|entry|story|stories|content|body|text|main",
+}
+#: Words beside a telling one that say nothing, and telling words that say little beside another.
+FILLERS = "site|page|box|wrap|wrapper|inner|outer|block|container|area|section|list|item|items|group|panel|row|col|column|bar|top|bottom|left|right|global|primary|secondary|the"
+WEAK = "content|body|text|main"
+_NAME_WORDS = re.compile(r"[^\W\d_]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_FILLER = re.compile(f"(?:{FILLERS})+|[a-z]")
+_WEAK = re.compile(f"(?:{WEAK})")
+_NAME_KINDS = {k: re.compile(f"(?:{FILLERS})?(?:{words})(?:{FILLERS})?") for k, words in NAME_KINDS.items()}
+_BASE_KINDS = [*TAGS, *(f"#{k}" for k in NAME_KINDS), *(f"?{k}" for k in NAME_KINDS), "other", "text"]
+KINDS = {k: i for i, k in enumerate(_BASE_KINDS)}
+#: Sorts of parents: 0 frames, 1 plain containers, 2 all else. A node's kind is its own one by its parent's sort.
+SORTS = 3
+_SORT = [0 if k in ("html", "body", "head", "center", "form") else 1 if k in ("div", "section", "main", "other", "table", "tbody", "tr", "td", "fieldset") or k[0] == "?" else 2 for k in KINDS]
+N_EDGES = len(KINDS) * SORTS
+#: Elements around a run of text, by what they say of it.
+AROUND = ("h1 h2", "h3 h4 h5 h6", "p blockquote pre", "ul ol li dl dt dd", "table tbody tr td th", "caption figcaption figure", "label button option select")
+_AROUND = [next((i + 1 for i, tags in enumerate(AROUND) if k in tags.split()), 0) for k in KINDS]
+#: Bounds of the lengths of runs, and how much the evidence of each length counts.
+LENGTHS = (8, 25, 60, 150, 400)
+WEIGHTS = (0.1, 0.25, 0.6, 1, 1, 1)
+N_FEATURES = (len(AROUND) + 1) * len(WEIGHTS) * 3 * 2
+
+
+@lru_cache(1 << 14)
+def named_kind(names: str) -> str | None:
+    """``#kind`` where a name tells the kind, ``?kind`` where it has further words, else None."""
+    sure, unsure = set(), set()
+    for name in names.split():
+        kinds, further = [], False
+        for word in _NAME_WORDS.findall(_CAMEL.sub(" ", name)):
+            word = word.lower()
+            kind = next((k for k, p in _NAME_KINDS.items() if p.fullmatch(word)), None)
+            if kind:
+                kinds.append((bool(_WEAK.fullmatch(word)), kind))
+            elif not _FILLER.fullmatch(word):
+                further = True
+        if kinds:
+            strong = [k for weak, k in kinds if not weak] or [k for _, k in kinds]
+            (unsure if further else sure).add(strong[-1])
+    for mark, found in (("#", sure), ("?", unsure)):
+        for kind in NAME_KINDS:
+            if kind in found:
+                return mark + kind
+    return None
+
 
 #: Comments; tags (quotes open a value only right after an equals sign); declarations; tags whose quote is never closed; markup cut off by the end.
 _VALUE = r"=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+"
@@ -84,7 +135,7 @@ class Trees:
     def add(self, parent: int, kind: int, mark: int = -1) -> int:
         self.parent.append(parent)
         self.depth.append(self.depth[parent] + 1 if parent >= 0 else 0)
-        self.kind.append(kind)
+        self.kind.append(kind * SORTS + (_SORT[self.kind[parent] // SORTS] if parent >= 0 else 0))
         self.mark.append(mark)
         return len(self.parent) - 1
 
@@ -101,7 +152,7 @@ class Trees:
             if run:
                 text = " ".join("".join(run).split())
                 if text:
-                    node = self.add(stack[-1][1], TEXT_KIND)
+                    node = self.add(stack[-1][1], KINDS["text"])
                     self.text[node], self.linked[node] = text, links
                 run.clear()
             links = 0
@@ -129,6 +180,10 @@ class Trees:
             if name in INLINE:
                 if name == "a":
                     in_link = 0 if closing else 1
+                elif name == "br":
+                    words(" ")
+                continue
+            if "-" in name and not named_kind(name):
                 continue
             close_run()
             if name in VOID:
@@ -152,10 +207,13 @@ class Trees:
                         break
             kind = KINDS.get(name, KINDS["other"])
             mark = -1
+            if "-" in name:
+                kind = KINDS[named_kind(name)]
             if attributes:
                 names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes))
-                if names:
-                    kind = next((KINDS[f"#{k}"] for k, p in NAME_KINDS if p.search(names)), kind)
+                told = named_kind(names) if names else None
+                if told and not (told[0] == "?" and name in OWN_KIND):
+                    kind = KINDS[told]
                 marked = _MARK.search(attributes)
                 mark = int(marked[1]) if marked else -1
             stack.append((name, self.add(stack[-1][1], kind, mark)))
@@ -163,12 +221,13 @@ class Trees:
         close_run()
 
     def features(self) -> tuple[np.ndarray, np.ndarray]:
-        """Text nodes and the number of their combination of length, link share and ending."""
+        """Text nodes and the number of their combination of element, length, link share and ending."""
         nodes = np.array(list(self.text), np.int64)
         sizes = np.array([len(t) for t in self.text.values()], np.int64)
         share = np.array(list(self.linked.values()), np.int64) / np.maximum(sizes, 1)
         ends = np.array([t[-1] in ".!?…:;\"'»”)" for t in self.text.values()], np.int64)
-        return nodes, (np.searchsorted((8, 25, 60, 150, 400), sizes) * 3 + np.searchsorted((0.2, 0.8), share)) * 2 + ends
+        around = np.array([_AROUND[self.kind[self.parent[n]] // SORTS] for n in self.text], np.int64)
+        return nodes, ((around * len(WEIGHTS) + np.searchsorted(LENGTHS, sizes)) * 3 + np.searchsorted((0.2, 0.8), share)) * 2 + ends
 
 
 class TreeModel:
@@ -178,7 +237,8 @@ class TreeModel:
         edge = edge_counts + smooth
         self.edge = np.log(edge / edge.sum(axis=2, keepdims=True))
         evidence = evidence_counts + smooth
-        self.evidence = np.log(evidence / evidence.sum(axis=0, keepdims=True))
+        weight = np.array(WEIGHTS)[np.arange(len(evidence)) // 6 % len(WEIGHTS)]
+        self.evidence = np.log(evidence / evidence.sum(axis=0, keepdims=True)) * weight[:, None]
 
     def marginals(self, trees: Trees) -> np.ndarray:
         """P(main) of every node by messages up and down the trees."""
@@ -203,7 +263,7 @@ class TreeModel:
 
 
 def _labels(trees: Trees) -> np.ndarray:
-    """Labels of all nodes of labelled pages: text by its nearest mark, elements by most of their text."""
+    """Labels of all nodes of labelled pages: text by its nearest mark, elements by whether they hold main text; -1 without text."""
     n = len(trees.parent)
     label, size, main = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     for node in range(n):
@@ -216,13 +276,13 @@ def _labels(trees: Trees) -> np.ndarray:
             size[trees.parent[node]] += size[node]
             main[trees.parent[node]] += main[node]
         if node not in trees.text:
-            label[node] = 2 * main[node] > size[node] if size[node] else label[node]
+            label[node] = main[node] > 0 if size[node] else -1
     return label
 
 
 def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of (kind, parent's label, label) and of (combination, label) in labelled pages."""
-    edges, evidence = np.zeros((len(KINDS), 2, 2), np.int64), np.zeros((N_FEATURES, 2), np.int64)
+    edges, evidence = np.zeros((N_EDGES, 2, 2), np.int64), np.zeros((N_FEATURES, 2), np.int64)
     for batch in pieces(batches, 0):
         trees = Trees()
         for html in batch.column(0).to_pylist():
@@ -230,7 +290,7 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not trees.parent:
             continue
         label, parent, kind = _labels(trees), np.array(trees.parent), np.array(trees.kind)
-        inner = parent >= 0
+        inner = (parent >= 0) & (label >= 0)
         np.add.at(edges, (kind[inner], label[parent[inner]], label[inner]), 1)
         nodes, features = trees.features()
         np.add.at(evidence, (features, label[nodes]), 1)
@@ -241,9 +301,9 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, html_col: str = "html") -> TreeModel:
     """Potentials from labelled pages; a few hundred sums reach the driver, however many pages there are."""
     rows = labelled.select(html_col).mapInArrow(_counting, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(len(KINDS) * 4 + N_FEATURES * 2)
+    counts = np.zeros(N_EDGES * 4 + N_FEATURES * 2)
     counts[rows["cell"].to_numpy(int)] = rows["n"].to_numpy(float)
-    return TreeModel(counts[: len(KINDS) * 4].reshape(-1, 2, 2), counts[len(KINDS) * 4 :].reshape(-1, 2))
+    return TreeModel(counts[: N_EDGES * 4].reshape(-1, 2, 2), counts[N_EDGES * 4 :].reshape(-1, 2))
 
 
 def default_model(spark: SparkSession, n_pages: int = 1500) -> TreeModel:

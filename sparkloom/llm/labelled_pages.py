@@ -11,6 +11,9 @@ import random
 
 SYLLABLES = "ba ce di fo gu ha je ki lo mu na pe ri so tu va we xi yo zu é ñ ö la".split()
 
+#: Words of furniture that an article's subject may hold as well.
+TELLING = "navigation menu header footer legal comment reply ad alert notice cookie rail social side widget".split()
+
 
 class _Page:
     def __init__(self, seed: int):
@@ -25,9 +28,14 @@ class _Page:
         """A class or id attribute, sometimes with further words, sometimes none."""
         r = self.r
         word = r.choice(names)
+        if r.random() < 0.12:  # beside words of the page's subject
+            word = "-".join(r.choice(([self.topic(), word], [word, self.topic()], [self.topic(), word, self.topic()])))
         word = r.choice([word, f"{word}-{r.choice(('box', 'wrap', 'inner', 'block'))}", f"site-{word}", word])
         return r.choice([f' class="{word}"', f' id="{word}"', f' class="{word} x{r.randint(1, 9)}"'])
 
+    def topic(self) -> str:
+        return "".join(self.r.choices(SYLLABLES[:21], k=3))
+
     def links(self, n: int) -> str:
         items = "".join(f'<li><a href="/{k}">{self.words(1, 3)}</a>' + self.r.choice(("</li>", "")) for k in range(n))
         return f"<ul>{items}</ul>"
@@ -40,13 +48,16 @@ class _Page:
         if r.random() < 0.2:
             text += f' <a href="/x">{self.words(1, 5)}</a> {self.words(2, 9)}.'
         if r.random() < 0.15:
-            text += f"<br>{self.words(2, 12)}."
+            text += "".join(f"<br>{self.words(2, 12)}" + r.choice((".", "")) for _ in range(r.choice((1, 1, 4, 8))))
         return f"<p>{text}" + r.choice(("</p>", "</p>", "</p>", ""))
 
     def body_text(self) -> str:
         r, parts = self.r, []
         if r.random() < 0.85:
-            parts.append(f"<h1>{self.words(1, 10)}</h1>")
+            title = f"<h1>{self.words(*r.choice(((1, 1), (1, 3), (1, 10))))}</h1>"
+            if r.random() < 0.2:
+                title = r.choice((f"<header>{title}</header>", f"<header>{title}<p>{self.words(1, 6)}</p></header>", f'<div class="article-header">{title}</div>', f'<div class="entry-header">{title}</div>'))
+            parts.append(title)
         for _ in range(r.choice((1, 1, 2, 4, 8, 16))):
             parts.append(self.paragraph())
             extra = r.random()
@@ -74,14 +85,22 @@ class _Page:
                 parts.append(f'<div data-main="0"{self.name("share", "social", "related", "newsletter")}>{self.links(r.randint(2, 5))}</div>')
             elif extra < 0.43:
                 parts.append(f'<nav data-main="0">{self.links(3)}</nav>')
+            elif extra < 0.46:
+                parts.append(r.choice(("", f"<h2>{self.words(1, 2)}</h2>")) + self.links(r.randint(2, 7)))
+            elif extra < 0.49:
+                parts.append((tag := r.choice(("<ul>", "<ol>"))) + "".join(f"<li>{self.words(1, 3)}</li>" for _ in range(r.randint(2, 8))) + tag.replace("<", "</"))
+            elif extra < 0.51:
+                parts.append("<dl>" + "".join(f"<dt>{self.words(1, 2)}<dd>{self.words(1, 9)}" for _ in range(r.randint(2, 4))) + "</dl>")
+        if r.random() < 0.08:
+            parts.append(f'<footer data-main="0">{r.choice((self.words(2, 12) + ".", self.links(2)))}</footer>')
         return "".join(parts)
 
     def furniture(self, kind: str) -> str:
         r = self.r
-        line = f"<p>{self.words(2, 30)}.</p>"
+        line = "".join(f"<p>{self.words(2, 30)}.</p>" for _ in range(r.choice((1, 1, 1, 1, 3))))
         if kind == "nav":
             inner = self.links(r.randint(2, 8))
-            return r.choice((f"<nav>{inner}</nav>", f"<nav>{inner}</nav>", f'<div{self.name("menu", "nav", "navbar", "breadcrumb")}>{inner}</div>'))
+            return r.choice((f"<nav>{inner}</nav>", f"<nav>{inner}</nav>", f'<div{self.name("menu", "nav", "navbar", "breadcrumb")}>{inner}</div>', inner))
         if kind == "header":
             inner = f"<h1>{self.words(1, 4)}</h1>" + r.choice(("", line, f"<span>{self.words(1, 8)}</span>"))
             return r.choice((f"<header>{inner}</header>", f'<div{self.name("header", "masthead", "topbar")}>{inner}</div>'))
@@ -110,6 +129,8 @@ class _Page:
             + (("<main", "</main>"), ("<main", "</main>"))
             + tuple((f'<div{self.name(n)}', "</div>") for n in ("content", "article", "post", "entry", "story", "body-text", "main"))
             + tuple((f'<section{self.name(n)}', "</section>") for n in ("content", "article", "text"))
+            + (("<div", "</div>"), (f'<div class="{self.topic()}"', "</div>"))
+            + tuple((f'<div class="{self.topic()}-{r.choice(TELLING)}-{self.topic()}"', "</div>") for _ in range(3))
         )
         main = f'{open_} data-main="1">{self.body_text()}{close}'
         if r.random() < 0.25 and "<main" not in main:
@@ -119,6 +140,8 @@ class _Page:
         inner = "".join([*before, main, *after])
         if r.random() < 0.3:
             inner = f'<div{r.choice(("", self.name("wrapper", "page", "container", "layout")))}>{inner}</div>'
+        if r.random() < 0.03:
+            inner = f"<form>{inner}</form>"
         head = f"<head><title>{self.words(1, 9)}</title><style>p{{}}</style><script>var a='</p>';</script></head>"
         return f"<!DOCTYPE html><html>{head}<body>{inner}" + r.choice(("</body></html>", ""))
 
