@@ -15,11 +15,15 @@ Search. Every query begins at its own node and at ``entries`` fixed ones, and ke
 the ``width`` nearest nodes found. In each step it expands all that are not yet
 expanded, and it stops when none is left. Pairs of query and node are exchanged, not
 vectors; the query vectors are sent to all tasks, ``block_bytes`` of them at a time.
-Found nodes are opened into their equal vectors at the end, and distances are then
-taken in double precision on the original vectors.
+Distances are taken in double precision on the original vectors. Kept nodes are opened
+into the ids of their equal vectors at the end, and each query's ids are cut to ``k`` only
+then. A query that is left with fewer ids than there are (one id may hold more vectors near
+it than ``width``), and one whose vector has not the most common length, is answered by the
+exact blocked search instead; so no vector is left out for its length. Tables of rounds and
+steps are deleted as soon as the next ones are written.
 
 Defined cases: vectors that are null, all zero, or hold null or non-finite parts
-take no part, nor do those whose length differs from the most common one; equal
+take no part; vectors are compared with those of their own length; equal
 distances go to the smaller id; repeated rows count once; an id with several vectors
 is one candidate, by its nearest one, and asks with its smallest; fewer candidates
 than ``k`` are all returned; an empty table gives no rows; further columns are ignored.
@@ -35,18 +39,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from sparkloom.operators.nearest import exact_nearest
+
+from .common import placed, removed, written
 
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 @dataclass
 class Index:
-    """``nodes(node, v)``, ``members(node, id, nth)`` and ``graph(node, near)``."""
+    """``nodes(node, v)``, ``members(node, id, nth)`` and ``graph(node, near)`` of vectors of ``length``; ``rows(id, v)`` of every length."""
 
     nodes: DataFrame
     members: DataFrame
     graph: DataFrame
+    rows: DataFrame
+    length: int
     most_members: int
 
 
@@ -72,11 +80,15 @@ def _square_distances(rows: np.ndarray) -> np.ndarray:
 def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``id, v`` of the rows that take part."""
     v = F.col(vector_col).cast("array<double>")
-    usable = vectors.select(F.col(id_col).alias("id"), v.alias("v")).where(
+    return vectors.select(F.col(id_col).alias("id"), v.alias("v")).where(
         "id is not null and v is not null and exists(v, x -> x <> 0) and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('inf'))"
     )
-    common = usable.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
-    return usable.where(F.size("v") == (common["n"] if common else 0))
+
+
+def common_length(valid: DataFrame) -> int:
+    """The length that most vectors have, the smaller one of two; 0 without vectors."""
+    common = valid.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
+    return common["n"] if common else 0
 
 
 def _projecting(n: int, seed: int, kind: type) -> Run:
@@ -188,8 +200,10 @@ def build_index(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> Index:
-    """A neighbour graph over all valid rows; answers up to ``k`` neighbours."""
-    valid = valid_vectors(vectors, id_col, vector_col).distinct()
+    """A neighbour graph over the valid rows of the most common length; answers up to ``k`` neighbours."""
+    every = valid_vectors(vectors, id_col, vector_col)
+    length = common_length(every)
+    valid = every.where(F.size("v") == length).distinct()
     kind = np.float32 if dict(vectors.dtypes)[vector_col] == "array<float>" else np.float64
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Of equal vectors only the k + 1 smallest ids can ever be answers; the rank limit applies before the exchange.
@@ -197,7 +211,7 @@ def build_index(
     ranked = valid.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= k + 1)
     ranked = written(ranked.withColumn("node", F.min("id").over(Window.partitionBy("v"))))
     nodes = ranked.where("nth = 1").select("node", "v")
-    sided = written(nodes.mapInArrow(_projecting(projections, seed, kind), "node long, packed binary, sides array<double>"))
+    sided, sides_folder = placed(nodes.mapInArrow(_projecting(projections, seed, kind), "node long, packed binary, sides array<double>"))
     packed = sided.select("node", "packed")
 
     first = None
@@ -205,7 +219,7 @@ def build_index(
         line = sided.select("node", "packed", F.col("sides")[p].alias("side")).repartitionByRange(parts, "side", "node").sortWithinPartitions("side", "node")
         edges = line.select("node", "packed").mapInArrow(_block_neighbours(block, max(degree // 2, k), kind), "a long, b long, d double")
         first = edges if first is None else first.union(edges)
-    graph = written(_top(first.withColumn("fresh", F.lit(True)), degree))
+    graph, folder = placed(_top(first.withColumn("fresh", F.lit(True)), degree))
 
     while True:
         # A node with a short list takes any offer.
@@ -213,13 +227,16 @@ def build_index(
         known = packed.join(reach, F.col("node") == F.col("a"), "left").select("node", "packed", F.coalesce("radius", F.lit(float("inf"))).alias("radius"))
         pairs = _both_ways(graph, degree).join(known, F.col("x") == F.col("node")).select("u", "x", "packed", "radius")
         offered = pairs.repartition(parts, "u").sortWithinPartitions("u").mapInArrow(_local_join(offers, kind), "a long, b long, d double")
-        graph = written(_top(graph.withColumn("fresh", F.lit(False)).union(offered.withColumn("fresh", F.lit(True))), degree))
+        last = folder
+        graph, folder = placed(_top(graph.withColumn("fresh", F.lit(False)).union(offered.withColumn("fresh", F.lit(True))), degree))
+        removed(graph.sparkSession, last)
         edges = graph.agg(F.count("*").alias("n"), F.count_if("fresh").alias("fresh")).first()
         if edges["fresh"] <= settled * edges["n"]:
             break
 
     links = written(_both_ways(graph, degree).select(F.col("u").alias("node"), F.col("x").alias("near")))
-    return Index(nodes, ranked.select("node", "id", "nth"), links, k + 1)
+    removed(graph.sparkSession, folder, sides_folder)
+    return Index(nodes, ranked.select("node", "id", "nth"), links, every, length, k + 1)
 
 
 def _measuring(handle) -> Run:
@@ -252,14 +269,26 @@ def search(
     if k + 1 > index.most_members:
         raise ValueError("the index was built for fewer neighbours")
     asked = written(valid_vectors(queries, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v")))
-    n_bytes = asked.agg(F.sum(F.size("v") * 8)).first()[0] or 0
+    usual = asked.where(F.size("v") == index.length)
+    n_bytes = usual.agg(F.sum(F.size("v") * 8)).first()[0] or 0
     n_blocks = max(1, -(-n_bytes // block_bytes))
     found = None
     for b in range(n_blocks):
-        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b) if n_blocks > 1 else asked
+        part = usual.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b) if n_blocks > 1 else usual
         answers = _search_block(index, part, k, width, entries)
         found = answers if found is None else found.union(answers)
-    return found
+
+    # Queries with fewer answers than there are other ids, and those of other lengths, are searched exactly.
+    ids = [r["id"] for r in index.members.select("id").distinct().limit(k + 1).collect()]
+    due = F.lit(k) if len(ids) > k else F.lit(len(ids)) - F.col("id").isin(ids).cast("int")
+    counts = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n"))
+    lacking = (F.size("v") != index.length) | (F.coalesce("n", F.lit(0)) < due)
+    rest = asked.join(counts, "id", "left").where(lacking).select("id", "v")
+    if not rest.isEmpty():
+        rest = written(rest)
+        exact = exact_nearest(rest, index.rows.distinct(), k, "id", "v")
+        found = found.join(rest.select(F.col("id").alias("query_id")), "query_id", "left_anti").union(exact.select("query_id", F.col("rank").cast("int"), "id", "score"))
+    return found.withColumnRenamed("id", id_col)
 
 
 def _search_block(index: Index, asked: DataFrame, k: int, width: int, entries: int) -> DataFrame:
@@ -274,7 +303,7 @@ def _search_block(index: Index, asked: DataFrame, k: int, width: int, entries: i
     entry = asked.select(F.col("id").alias("q"), F.explode(F.lit(gates).cast("array<long>")).alias("node"))
     start = own.union(entry).distinct()
     far = F.lit(float("inf"))
-    beam = written(
+    beam, folder = placed(
         start.withColumn("worst", far).join(index.nodes, "node").select("q", "node", "worst", "v")
         .mapInArrow(_measuring(handle), "q long, node long, d double").withColumn("done", F.lit(False))
     )
@@ -290,13 +319,15 @@ def _search_block(index: Index, asked: DataFrame, k: int, width: int, entries: i
             .mapInArrow(_measuring(handle), "q long, node long, d double")
         )
         both = beam.select("q", "node", "d", F.lit(True).alias("done")).union(fresh.withColumn("done", F.lit(False)))
-        beam = written(both.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= width).drop("nth"))
+        last = folder
+        beam, folder = placed(both.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= width).drop("nth"))
+        removed(spark, last)
         if beam.where("not done").isEmpty():
             break
 
-    # Nodes whose distance could still be among the k nearest, opened into their equal vectors.
-    near = beam.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= 2 * k + 2).select("q", "node")
-    opened = near.join(index.members, "node").join(index.nodes, "node").where("id <> q").select("q", F.col("id").alias("node"), far.alias("worst"), "v")
-    exact = opened.mapInArrow(_measuring(handle), "q long, node long, d double").groupBy("q", "node").agg(F.min("d").alias("d"))
-    exact = exact.withColumn("score", F.sqrt("d")).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("score", "node")))
-    return exact.where(F.col("rank") <= k).select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("node").alias("vec_id"), "score")
+    # Kept nodes opened into the ids of their equal vectors; an id counts by its nearest one.
+    opened = beam.join(index.members, "node").where("id <> q").groupBy("q", "id").agg(F.min("d").alias("d"))
+    ranked = opened.withColumn("score", F.sqrt("d")).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("score", "id")))
+    found = written(ranked.where(F.col("rank") <= k).select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), "id", "score"))
+    removed(spark, folder)
+    return found
