@@ -174,7 +174,11 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     more, more_in = placed(found.distinct())
     removed(spark, open_in)
     if not more.isEmpty():
-        known = connected_components(links.union(more))
+        # The further links run between components, so only these are put together.
+        joined = connected_components(more).select(F.col("node").alias("old"), F.col("component").alias("new"))
+        moved = known.join(joined, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+        alone = joined.join(known, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
+        known = moved.union(alone)
     result = written(known)
     removed(spark, links_in, more_in)
     return result
