@@ -131,8 +131,12 @@ def exact_nearest(
     def numbers(n: int) -> F.Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    asked = packed(queries).select("dim", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"), F.pmod(F.xxhash64(place), F.lit(rows)).cast("int").alias("_row"), numbers(columns).alias("_column"))
-    offered = packed(candidates).select("dim", "ids", "vectors", F.pmod(F.xxhash64(place), F.lit(columns)).cast("int").alias("_column"), numbers(rows).alias("_row"))
+    def dealt(blocks: DataFrame, own: str, own_n: int, every: str, n: int) -> DataFrame:
+        # The block's own place is fixed before it is repeated: beside a generator it would be drawn for each copy.
+        return blocks.withColumn(own, F.pmod(F.xxhash64(place), F.lit(own_n)).cast("int")).withColumn(every, numbers(n))
+
+    asked = dealt(packed(queries).withColumnsRenamed({"ids": "query_ids", "vectors": "query_vectors"}), "_row", rows, "_column", columns)
+    offered = dealt(packed(candidates), "_column", columns, "_row", rows)
     met = asked.join(offered.hint("merge"), ["dim", "_row", "_column"]).select("dim", "query_ids", "query_vectors", "ids", "vectors")
     found = met.mapInArrow(_meeting(k), "query_id long, id long, score double")
     once = found.groupBy("query_id", "id").agg(F.min("score").alias("score"))
