@@ -11,10 +11,12 @@ segments with an error each leave one more error to spend). So the keys are
   within four errors of the first segment (one or six) and the nearest one of the second,
   side B the nearest of the first and all of the second, and A meets B.
 
-Links without all pairs of a bucket. Equal fingerprints are one node. The fingerprints of
-a bucket are first compared with four of its own (the smallest and the largest, by value and
-by hash); components of these links are found. Only buckets that still hold several components
-are joined: those outside of the bucket's largest component with all of the bucket. There the
+Links without all pairs of a bucket. Equal fingerprints are one node. A bucket has four heads
+(the smallest and the largest fingerprint, by value and by hash), which are compared with each
+other where the bucket is aggregated. That is all of most buckets; only a bucket with further
+members is joined with them, to compare these with its heads. Components of these links are
+found. Only buckets with several further members that still hold several components are joined
+again: those outside of the bucket's largest component with all of the bucket. There the
 rest of the fingerprint is cut once more into one block more than it can have errors, of which
 one must be equal. The distance is tested inside the join condition, so only links leave the join.
 
@@ -29,6 +31,7 @@ table gives no rows; further columns, whatever their names, are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +47,8 @@ BITS, MOST_ERRORS = 64, 4
 #: First bit and width of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
-#: Sides of a bucket: whole segments meet all others, A meets B.
-WHOLE, SIDE_A, SIDE_B = 0, 1, 2
+#: Sides of a bucket: A meets B, BOTH meets all others.
+SIDE_A, SIDE_B, BOTH = 1, 2, 3
 HASH_SEED = 42
 BLOCK = 1 << 16
 
@@ -82,14 +85,15 @@ def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys, sides and the number of the fingerprint for each."""
     parts = [(prints.view(np.uint64) >> np.uint64(first)).astype(np.int64) & ((1 << width) - 1) for first, width in SEGMENTS]
     rows = np.arange(len(prints))
-    found = [((s << 24) | part, WHOLE, rows) for s, part in enumerate(parts)]
+    found = [((s << 24) | part, BOTH, rows) for s, part in enumerate(parts)]
     nearest, further = zip(*(indices(p) for p in parts))
     for nth, (i, j) in enumerate(PAIRS, len(SEGMENTS)):
-        for side, many, one in ((SIDE_A, i, j), (SIDE_B, j, i)):
-            for index in (nearest[many], *further[many].T):
-                there = index >= 0
-                first, second = (index, nearest[one]) if many == i else (nearest[one], index)
-                found.append((((nth << 24) | (first << 12) | second)[there], side, rows[there]))
+        own = [(nearest[i], nearest[j], BOTH)]
+        own += [(index, nearest[j], SIDE_A) for index in further[i].T]
+        own += [(nearest[i], index, SIDE_B) for index in further[j].T]
+        for first, second, side in own:
+            there = (first >= 0) & (second >= 0)
+            found.append((((nth << 24) | (first << 12) | second)[there], side, rows[there]))
     return (
         np.concatenate([k for k, _, _ in found]),
         np.concatenate([np.full(len(k), side, np.int8) for k, side, _ in found]),
@@ -125,8 +129,9 @@ def _rest_blocks(kind: Column, fingerprint: Column) -> Column:
     return F.array(*[F.array(*c) for c in cases])[kind]
 
 
-def near(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MOST_ERRORS
+def _linked(a: Column, b: Column) -> Column:
+    """Whether two different fingerprints link."""
+    return (a != b) & (F.bit_count(a.bitwiseXOR(b)) <= MOST_ERRORS)
 
 
 def fingerprint_links(prints: DataFrame) -> DataFrame:
@@ -134,22 +139,29 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     spark = prints.sparkSession
     members, members_in = placed(prints.select("print").mapInArrow(_keying, "key long, side byte, print long"))
     tell = F.struct(F.xxhash64("print").alias("h"), "print")
-    buckets = (
-        members.groupBy("key")
-        .agg(F.min("print").alias("p0"), F.max("print").alias("p1"), F.min(tell).alias("t2"), F.max(tell).alias("t3"))
-        .where("p0 < p1")
-        .select("key", "p0", "p1", F.col("t2.print").alias("p2"), F.col("t3.print").alias("p3"))
+    ends = members.groupBy("key").agg(
+        F.count("*").alias("n"), F.bit_or("side").alias("sides"), F.min("print").alias("p0"), F.max("print").alias("p1"), F.min(tell).alias("t2"), F.max(tell).alias("t3")
     )
-    crowded, crowded_in = placed(members.join(buckets, "key"))
+    heads = [F.col(c) for c in ("p0", "p1", "t2.print", "t3.print")]
+    among = F.filter(F.array(*[F.struct(a.alias("a"), b.alias("b")) for a, b in combinations(heads, 2)]), lambda pair: _linked(pair["a"], pair["b"]))
+    buckets, buckets_in = placed(
+        ends.where((F.col("n") > 1) & (F.col("sides") == BOTH))
+        .select("key", "n", F.array_distinct(F.array(*heads)).alias("heads"), among.alias("among"))
+        .where((F.col("n") > F.size("heads")) | (F.size("among") > 0))
+    )
+    further = buckets.where(F.col("n") > F.size("heads")).select("key", "heads", (F.col("n") > F.size("heads") + 1).alias("several"))
+    linked_heads = F.filter("heads", lambda p: _linked(p, F.col("print")))
+    crowded, crowded_in = placed(members.join(further, "key").select("key", "side", "print", "several", linked_heads.alias("heads")))
     removed(spark, members_in)
-    heads = F.filter(F.array("p0", "p1", "p2", "p3"), lambda p: (p != F.col("print")) & (F.bit_count(p.bitwiseXOR(F.col("print"))) <= MOST_ERRORS))
-    first_links = crowded.select("print", F.explode(F.array_distinct(heads)).alias("head"))
-    links, links_in = placed(first_links.select(F.col("print").alias("a"), F.col("head").alias("b")).distinct())
+    among_heads = buckets.select(F.explode("among").alias("pair")).select("pair.a", "pair.b")
+    with_heads = crowded.select(F.col("print").alias("a"), F.explode("heads").alias("b"))
+    links, links_in = placed(among_heads.union(with_heads).distinct())
+    removed(spark, buckets_in)
     known = connected_components(links)
 
     # Buckets that still hold several components, and the largest component of each.
     names = known.select(F.col("node").alias("print"), F.col("component").alias("named"))
-    placed_in_comp = crowded.select("key", "side", "print").join(names, "print", "left").select("key", "side", "print", F.coalesce("named", "print").alias("comp"))
+    placed_in_comp = crowded.where("several").select("key", "side", "print").join(names, "print", "left").select("key", "side", "print", F.coalesce("named", "print").alias("comp"))
     sorted_out, sorted_in = placed(placed_in_comp)
     removed(spark, crowded_in)
     shares = sorted_out.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps"))
@@ -159,18 +171,18 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     open_, open_in = placed(fine)
     removed(spark, sorted_in)
 
-    def side(which: int, in_major: bool | None, tag: str) -> DataFrame:
-        rows = open_.where(F.col("side") == which)
-        if in_major is not None:
-            rows = rows.where(F.col("in_major") == in_major)
-        return rows.select("key", "nth", "block", F.col("print").alias(f"print_{tag}"), F.col("comp").alias(f"comp_{tag}"))
-
-    # Those outside of the largest component with all, and those inside with the ones outside.
-    found = None
-    for a, b, in_a, in_b in ((WHOLE, WHOLE, False, None), (SIDE_A, SIDE_B, False, None), (SIDE_A, SIDE_B, True, False)):
-        met = side(a, in_a, "a").join(side(b, in_b, "b"), ["key", "nth", "block"]).where((F.col("comp_a") != F.col("comp_b")) & near("print_a", "print_b"))
-        pairs = met.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
-        found = pairs if found is None else found.union(pairs)
+    def side(which: int, tag: str) -> DataFrame:
+        rows = open_.where(F.col("side").bitwiseAND(which) != 0)
+        return rows.select("key", "nth", "block", *[F.col(c).alias(f"{c}_{tag}") for c in ("print", "comp", "in_major")])
+
+    # Those outside of the largest component on side A with all, and those inside with the ones outside.
+    # In buckets of whole segments all are on both sides, so the second would repeat the first.
+    a, b = side(SIDE_A, "a"), side(SIDE_B, "b")
+    apart = (F.col("comp_a") != F.col("comp_b")) & _linked(F.col("print_a"), F.col("print_b"))
+    met = a.where("not in_major_a").join(b, ["key", "nth", "block"]).where(apart)
+    inside = a.where(F.col("in_major_a") & (F.shiftright("key", 24) >= len(SEGMENTS)))
+    met_inside = inside.join(b.where("not in_major_b"), ["key", "nth", "block"]).where(apart)
+    found = met.union(met_inside).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
     more, more_in = placed(found.distinct())
     removed(spark, open_in)
     if not more.isEmpty():
