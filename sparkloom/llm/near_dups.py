@@ -18,8 +18,9 @@ condition, so only true links leave the join.
 Defined cases: a null or wordless text has no shingles, links with nothing and
 is its own component; a text of fewer words than the shingle width is one
 shingle; repeated rows share their component and are all kept if theirs is the
-component's smallest id; an id on several texts is one node with the links of all of
-them; very long texts are handled whole, one at a time; an empty table gives no rows;
+component's smallest id; ids are meant to be unique: an id on several texts ties those
+of its classes together of which it is the smallest id, and its rows in other classes have
+the component of their own class; very long texts are handled whole, one at a time; an empty table gives no rows;
 further columns, whatever their names, are ignored.
 """
 
