@@ -81,12 +81,14 @@ def salted_join(big: DataFrame, small: DataFrame, on: str, salts: int = 16, how:
     """Equi-join whose hot keys are split: ``big``'s rows are dealt over ``salts`` numbers, ``small``'s are repeated for each.
 
     The numbers follow the rows' places within their partitions, so equal rows are split too.
+    Both sides are exchanged and sorted: the planner takes ``small`` for its size before it is repeated, so it
+    would broadcast, by way of the driver, ``salts`` times as many rows as it means to.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("only joins that keep the big side's rows can be salted")
     left = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return left.join(right, [on, "_salt"], how).drop("_salt")
+    return left.join(right.hint("merge"), [on, "_salt"], how).drop("_salt")
 
 
 def planned_bytes(rows: DataFrame) -> int:

@@ -77,6 +77,15 @@ def test_streams_read_files_and_directories(spark, tmp_path):
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, tables.table(spark, str(tmp_path), name).select("id", "day").collect())) == [(i, i % 3) for i in range(100)], name
 
 
+def test_salted_joins_broadcast_no_side(spark, tmp_path):
+    spark.range(1000).withColumnRenamed("id", "k").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        joined = joins.salted_join(rows, rows, "k", how=how)
+        joined.collect()
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString(), how
+
+
 def test_not_in_follows_sql(spark):
     rows = spark.createDataFrame([(1,), (2,), (None,), (2,)], "k int")
     for others in ([], [(2,)], [(2,), (2,), (9,)], [(2,), (None,)], [(None,)]):
