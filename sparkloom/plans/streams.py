@@ -62,4 +62,4 @@ def clicks_from_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same source as a stream, a few files a batch."""
     lines = json_lines(spark, _as_lines(spark, sf_dir), _JSON_EVENTS, stream=True, maxFilesPerTrigger="2")
-    return windows.run_to_files(lines.where("value <= 50").select("event_id", "user_id", "value"))
+    return windows.run_limited_to_files(lines.where("value <= 50").select("event_id", "user_id", "value"))

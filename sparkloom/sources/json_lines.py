@@ -5,8 +5,10 @@
     spark.readStream.format("json_lines").schema(schema).option("path", folder).load()
 
 Files are opened through ``pyarrow.fs``, so a folder may be in any store that it knows (``file``,
-``hdfs``, ``s3``). Options: ``path``; ``splitBytes`` (default 32 MiB), the size of a batch partition;
-``maxFilesPerTrigger`` (default 1000), most new files in a batch of a stream.
+``hdfs``, ``s3``). Options: ``path``; ``splitBytes`` (default 32 MiB), the size of a partition;
+``maxFilesPerTrigger`` (default: all), most new files in a batch of a stream. Spark can't ask a Python source for
+its end apart from its next batch, so a stream with this limit needs a trigger that goes on (``windows.run_limited_to_files``):
+``availableNow`` would end after the first batch.
 
 A split holds the lines that begin in it, so a line that crosses a bound is read once. Filters of the
 form column ``=  <  <=  >  >=  IN  IS NULL  IS NOT NULL`` value are tested before a row is made; Spark is
@@ -155,6 +157,10 @@ def _uri(path: str, name: str) -> str:
     return f"{scheme}://{rest.split('/')[0]}{name}" if name.startswith("/") else f"{scheme}://{name}"
 
 
+def _splits(path: str, files: list[tuple[int, str, int]], split_bytes: int) -> list[Split]:
+    return [Split(_uri(path, name), at, min(at + split_bytes, size)) for _, name, size in files for at in range(0, size, split_bytes)]
+
+
 class _Batch(DataSourceReader):
     def __init__(self, options: dict[str, str], schema: T.StructType):
         self.path, self.split_bytes, self.parser = options["path"], int(options.get("splitBytes", SPLIT_BYTES)), _Parser(schema)
@@ -167,7 +173,7 @@ class _Batch(DataSourceReader):
                 yield found
 
     def partitions(self) -> list[Split]:
-        return [Split(_uri(self.path, name), at, min(at + self.split_bytes, size)) for _, name, size in _files(self.path) for at in range(0, size, self.split_bytes)]
+        return _splits(self.path, _files(self.path), self.split_bytes)
 
     def read(self, partition: Split) -> Iterator[tuple]:
         return self.parser.rows(partition)
@@ -175,7 +181,8 @@ class _Batch(DataSourceReader):
 
 class _Stream(DataSourceStreamReader):
     def __init__(self, options: dict[str, str], schema: T.StructType):
-        self.path, self.most, self.parser = options["path"], int(options.get("maxFilesPerTrigger", 1000)), _Parser(schema)
+        self.path, self.split_bytes, self.parser = options["path"], int(options.get("splitBytes", SPLIT_BYTES)), _Parser(schema)
+        self.most = int(options["maxFilesPerTrigger"]) if "maxFilesPerTrigger" in options else None
         self.reached: tuple[int, str] | None = None
 
     def initialOffset(self) -> dict:
@@ -190,7 +197,7 @@ class _Stream(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Split]:
         low, high = ((o["time"], o["name"]) for o in (start, end))
         self.reached = max(self.reached or high, high)  # also after a restart
-        return [Split(_uri(self.path, name), 0, size) for time, name, size in _files(self.path) if low < (time, name) <= high]
+        return _splits(self.path, [f for f in _files(self.path) if low < f[:2] <= high], self.split_bytes)
 
     def read(self, partition: Split) -> Iterator[tuple]:
         return self.parser.rows(partition)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparkloom.sources.scratch import shared_folder
@@ -62,6 +63,24 @@ def run_to_files(rows: DataFrame) -> DataFrame:
     """
     spark: SparkSession = rows.sparkSession
     folder = shared_folder(spark, "stream")
-    query = rows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).outputMode("append").start()
-    query.awaitTermination()
+    _to_files(rows, folder).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+
+
+def run_limited_to_files(rows: DataFrame) -> DataFrame:
+    """``run_to_files`` for a source that limits its batches and names no end of its own: batch follows batch until one brings nothing new.
+
+    Not for streams with a watermark: what only a later batch would close may be left open.
+    """
+    spark: SparkSession = rows.sparkSession
+    folder = shared_folder(spark, "stream")
+    query = _to_files(rows, folder).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+
+
+def _to_files(rows: DataFrame, folder: str) -> DataStreamWriter:
+    return rows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/log").outputMode("append")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import vectors
 from sparkloom.operators import aggregates, joins
 from sparkloom.sources import tables
+from sparkloom.sources.json_lines import json_lines
 from sparkloom.streaming import windows
 
 
@@ -86,6 +87,21 @@ def test_salted_joins_broadcast_no_side(spark, tmp_path):
         assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString(), how
 
 
+def test_streamed_json_lines_take_all_files_and_go_on(spark, tmp_path):
+    folder, log = str(tmp_path / "in"), str(tmp_path / "log")
+    rows = spark.range(50).selectExpr("id", "repeat('x', 20) AS s")
+    rows.repartition(5).write.json(folder)
+    limited = lambda: json_lines(spark, folder, "id long, s string", stream=True, maxFilesPerTrigger="2", splitBytes="100")
+    assert sorted(r.id for r in windows.run_limited_to_files(limited()).collect()) == list(range(50))
+    assert sorted(r.id for r in windows.run_to_files(json_lines(spark, folder, "id long, s string", stream=True)).collect()) == list(range(50))
+    for _ in range(2):  # a second run of the stream takes only what is new
+        query = limited().writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", log).start()
+        query.processAllAvailable()
+        query.stop()
+        rows.selectExpr("id + 50 AS id", "s").repartition(3).write.mode("append").json(folder)
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(100))
+
+
 def test_not_in_follows_sql(spark):
     rows = spark.createDataFrame([(1,), (2,), (None,), (2,)], "k int")
     for others in ([], [(2,)], [(2,), (2,), (9,)], [(2,), (None,)], [(None,)]):
