@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _BLOCK_FIELDS = "dim int, ids binary, vectors binary"
+#: Of one matrix of distances between some queries and a block of candidates; about six of them are held.
+_MATRIX_BYTES = 2 << 20
 
 
 def _flat(column: pa.Array) -> np.ndarray:
@@ -63,8 +65,9 @@ def closest(queries: np.ndarray, others: np.ndarray, k: int, skip: np.ndarray, o
     others, other_ids = others[order], other_ids[order]
     firsts = np.flatnonzero(np.diff(other_ids, prepend=other_ids[:1] - 1))  # of each id; an id may stand on several vectors
     lengths = (others**2).sum(axis=1)
-    for at in range(0, len(queries), 256):
-        part = queries[at : at + 256]
+    step = max(1, _MATRIX_BYTES // (8 * max(1, len(others))))
+    for at in range(0, len(queries), step):
+        part = queries[at : at + step]
         own = (part**2).sum(axis=1)
         with np.errstate(over="ignore", invalid="ignore"):
             rough = own[:, None] + lengths[None, :] - 2 * (part @ others.T)
@@ -86,10 +89,11 @@ def closest(queries: np.ndarray, others: np.ndarray, k: int, skip: np.ndarray, o
 def _meeting(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                dim = row["dim"]
-                query_ids, other_ids = (np.frombuffer(row[c], np.int64) for c in ("query_ids", "ids"))
-                queries, others = (np.frombuffer(row[c], np.float64).reshape(-1, dim) for c in ("query_vectors", "vectors"))
+            for i in range(batch.num_rows):
+                dim = batch["dim"][i].as_py()
+                # Views: a batch holds up to 64 MB of blocks, which are not copied.
+                query_ids, other_ids = (np.frombuffer(batch[c][i].as_buffer(), np.int64) for c in ("query_ids", "ids"))
+                queries, others = (np.frombuffer(batch[c][i].as_buffer(), np.float64).reshape(-1, dim) for c in ("query_vectors", "vectors"))
                 asked, found, scores = [], [], []
                 for query, (places, distances) in zip(query_ids.tolist(), closest(queries, others, k, query_ids, other_ids)):
                     asked.append(np.full(len(places), query))
@@ -97,6 +101,8 @@ def _meeting(k: int):
                     scores.append(distances)
                 columns = [np.concatenate(x) if x else np.zeros(0) for x in (asked, found, scores)]
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "id", "score"])
+                del query_ids, other_ids, queries, others
+            del batch  # before the next one is read
 
     return run
 

@@ -1,7 +1,13 @@
 """Queries on tables of their own: odd keys, and the size of what a task holds."""
 
+import tracemalloc
+
 import __spark_entry__ as entry
 import duckdb
+import numpy as np
+import pyarrow as pa
+
+from sparkloom.operators import nearest
 
 
 def _equals_sql(spark, name, folder):
@@ -21,3 +27,15 @@ def test_cogrouped_orders_with_null_and_repeated_customers(spark, tmp_path):
     spark.createDataFrame(customers, "c_custkey long, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
     spark.createDataFrame([(i, *o) for i, o in enumerate(orders)], "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
     assert (1, 3) in _equals_sql(spark, "cogrouped_orders", tmp_path)
+
+
+def test_meeting_blocks_are_neither_copied_nor_multiplied_whole():
+    rng = np.random.default_rng(1)
+    queries, others, n = rng.random((256, 64)), rng.random((8192, 64)), 12
+    one = {"dim": 64, "query_ids": np.arange(256).tobytes(), "query_vectors": queries.tobytes(), "ids": np.arange(8192).tobytes(), "vectors": others.tobytes()}
+    batch = pa.RecordBatch.from_pylist([one] * n, pa.schema([("dim", pa.int32()), *((c, pa.binary()) for c in list(one)[1:])]))
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in nearest._meeting(10)(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == n * 256 * 10 and most < 40 << 20
