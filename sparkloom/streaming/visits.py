@@ -1,11 +1,12 @@
 """Visits of users by arbitrary state: what is open is held per user and closed by event-time timers.
 
-The state of a user is a list (events of visits that are still open), a value (when the timer is
-due) and a map (how many visits and events there have been, by kind). Events may come in any order
+The state of a user is a list (events of visits that are still open) and a value (when the timer is
+due, and how many visits there have been). Events may come in any order
 within the watermark's delay. When the watermark passes the end of a visit by ``gap``, the timer
-fires: visits that ended are counted, numbered and put out, the events of later ones stay. So the
-state is bounded by a user's open visits, and the counts by the number of kinds. The state store
-must be RocksDB, which keeps state on disk.
+fires: visits that ended are numbered and put out, the events of later ones stay. So the
+state is bounded by a user's open visits. The state store
+must be RocksDB, which keeps state on disk. Each call on the state is a message between Python and the JVM,
+so there are few of them: four or five when a user's events come, five or six when the timer fires.
 
 Defined cases: null users are one user; events with a null time or kind are left out; events later than
 the watermark are dropped by Spark; two events exactly ``gap`` apart belong to different visits.
@@ -13,9 +14,9 @@ the watermark are dropped by Spark; two events exactly ``gap`` apart belong to d
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 VISITS = "user_id {kind}, started timestamp_ntz, ended timestamp_ntz, n long, kinds long, nth long"
-_EPOCH = dt.datetime(1970, 1, 1)
 
 
 def use_rocks(spark: SparkSession) -> None:
@@ -37,33 +37,31 @@ class Visits(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getListState("open", "at long, kind string")
-        self.due = handle.getValueState("due", "at long")
-        self.seen = handle.getMapState("seen", "what string", "n long")
+        self.told = handle.getValueState("told", "due long, visits long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001
         first = 1 << 62
         for part in rows:
-            at = (part["at"] - pd.Timestamp(_EPOCH)) // pd.Timedelta(microseconds=1) if part["at"].dt.tz is None else part["at"].astype("int64")
-            added = list(zip(at.astype("int64").tolist(), part["kind"].tolist()))
-            self.open.appendList(added)
-            first = min([first, *(a for a, _ in added)])
-        self._wake(first)
+            at = part["at"].to_numpy("datetime64[us]").astype("int64")
+            self.open.appendList(list(zip(at.tolist(), part["kind"].tolist())))
+            first = min(first, int(at.min()))
+        due, visits = self.told.get() or (None, 0)
+        self._wake(first, due, visits)
         yield from ()
 
-    def _wake(self, event: int) -> None:
+    def _wake(self, event: int, due: int | None, visits: int) -> None:
         """A timer at the time at which a visit that ends with ``event`` is over; of two the earlier one stays, and looks again."""
         at = (event + self.gap) // 1000 + 1
-        if self.due.exists():
-            (other,) = self.due.get()
-            if other <= at:
+        if due is not None:
+            if due <= at:
                 return
-            self.handle.deleteTimer(other)
-        self.due.update((at,))
+            self.handle.deleteTimer(due)
+        self.told.update((at, visits))
         self.handle.registerTimer(at)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        self.due.clear()
+        _, before = self.told.get()
         visits: list[list[tuple[int, str]]] = []
         for event in sorted(tuple(e) for e in self.open.get()):
             if not visits or event[0] - visits[-1][-1][0] >= self.gap:
@@ -73,22 +71,18 @@ class Visits(StatefulProcessor):
         still = [e for v in visits[len(over) :] for e in v]
         if still:
             self.open.put(still)
-            self._wake(visits[len(over)][-1][0])
+            self._wake(visits[len(over)][-1][0], None, before + len(over))
         else:
             self.open.clear()
+            self.told.update((None, before + len(over)))
         if over:
-            yield self._closed(key, over)
-
-    def _closed(self, key: tuple, over: list[list[tuple[int, str]]]) -> pd.DataFrame:
-        count = lambda what: self.seen.getValue((what,))[0] if self.seen.containsKey((what,)) else 0
-        nth = count("visits")
-        self.seen.updateValue(("visits",), (nth + len(over),))
-        for kind in {k for v in over for _, k in v}:
-            self.seen.updateValue((f"kind {kind}",), (count(f"kind {kind}") + sum(k == kind for v in over for _, k in v),))
-        when = lambda at: _EPOCH + dt.timedelta(microseconds=at)
+            yield self._closed(key, over, before)
+
+    def _closed(self, key: tuple, over: list[list[tuple[int, str]]], before: int) -> pd.DataFrame:
+        when = lambda place: np.array([v[place][0] for v in over], "datetime64[us]")
         return pd.DataFrame(
-            {"user_id": [key[0]] * len(over), "started": [when(v[0][0]) for v in over], "ended": [when(v[-1][0]) for v in over], "n": [len(v) for v in over],
-             "kinds": [len({k for _, k in v}) for v in over], "nth": [nth + i + 1 for i in range(len(over))]}
+            {"user_id": [key[0]] * len(over), "started": when(0), "ended": when(-1), "n": [len(v) for v in over],
+             "kinds": [len({k for _, k in v}) for v in over], "nth": np.arange(before + 1, before + 1 + len(over))}
         )
 
     def close(self) -> None:

@@ -1,13 +1,16 @@
 """Queries on tables of their own: odd keys, and the size of what a task holds."""
 
 import tracemalloc
+from types import SimpleNamespace
 
 import __spark_entry__ as entry
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 from sparkloom.operators import nearest
+from sparkloom.streaming import visits
 
 
 def _equals_sql(spark, name, folder):
@@ -39,3 +42,71 @@ def test_meeting_blocks_are_neither_copied_nor_multiplied_whole():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows == n * 256 * 10 and most < 40 << 20
+
+
+class _Counted:
+    """A state that counts the calls on it."""
+
+    calls = 0
+
+    def _state(self, *_args, **_more):
+        return _CountedState()
+
+    getListState = getValueState = getMapState = _state
+
+    def registerTimer(self, at):
+        _Counted.calls += 1
+
+    deleteTimer = registerTimer
+
+
+class _CountedState:
+    def __init__(self):
+        self.rows, self.map = [], {}
+
+    def __getattribute__(self, name):
+        if name not in ("rows", "map"):
+            _Counted.calls += 1
+        return object.__getattribute__(self, name)
+
+    def get(self):
+        return self.rows if isinstance(self.rows, list) and self.rows else None if isinstance(self.rows, list) else self.rows
+
+    def exists(self):
+        return bool(self.rows)
+
+    def update(self, row):
+        self.rows = row
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def appendList(self, rows):
+        self.rows = self.rows + list(rows)
+
+    def clear(self):
+        self.rows = []
+
+    def containsKey(self, key):
+        return key in self.map
+
+    def getValue(self, key):
+        return self.map.get(key)
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+
+
+def test_a_users_visits_take_few_calls_on_the_state():
+    minutes = [0, 5, 10, 100, 101, 200]
+    day = np.datetime64("2024-01-01", "us")
+    rows = pd.DataFrame({"at": [day + np.timedelta64(m, "m") for m in minutes], "kind": list("abcdea")})
+    made = visits.Visits(1800)
+    made.init(_Counted())
+    _Counted.calls = 0
+    assert not list(made.handleInputRows((7,), iter([rows]), None))
+    watermark = SimpleNamespace(getCurrentWatermarkInMs=lambda: int((day + np.timedelta64(150, "m")).astype("int64") // 1000))
+    (found,) = made.handleExpiredTimer((7,), watermark, None)
+    assert found[["n", "kinds", "nth"]].to_numpy().tolist() == [[3, 3, 1], [2, 2, 2]]
+    assert found["ended"].tolist() == [pd.Timestamp("2024-01-01 00:10"), pd.Timestamp("2024-01-01 01:41")]
+    assert _Counted.calls <= 10
