@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FORMATS = ("parquet", "orc", "json", "csv", "text")
 
@@ -19,11 +20,31 @@ def read(spark: SparkSession, path: str, kind: str, schema: str | None = None, *
     return (reader.schema(schema) if schema else reader).format(kind).load(path)
 
 
+#: Of one partition value in one task of a write; a task sorts its rows by partition values before it writes them.
+PIECE_ROWS = 1_000_000
+
+
+def _together(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Rows of one value of ``by`` in one task, or in as many as they make pieces of ``PIECE_ROWS``.
+
+    Spark's own rebalancing goes by bytes as compressed, of which columns that hold few values have next to none for a
+    row, so a task could hold very many rows. Values are few, as each is a folder; their counts are broadcast.
+    """
+    parts = rows.count() // PIECE_ROWS + 1
+    if parts == 1:
+        return rows.hint("rebalance", *by)
+    own = [f"_own{i}" for i in range(len(by))]
+    counts = rows.groupBy(*[F.col(c).alias(o) for c, o in zip(by, own)]).agg(F.ceil(F.count("*") / PIECE_ROWS).alias("_pieces"))
+    same = [F.col(c).eqNullSafe(F.col(o)) for c, o in zip(by, own)]
+    dealt = rows.join(F.broadcast(counts), same).withColumn("_piece", F.pmod(F.monotonically_increasing_id(), F.col("_pieces")))
+    return dealt.repartition(4 * parts, *by, "_piece").select(*rows.columns)
+
+
 def write(rows: DataFrame, path: str, kind: str, partition_by: tuple[str, ...] = (), mode: str = "error", **options: str) -> None:
     """Writes ``rows``; rows of one partition value are brought together first, split where there are very many."""
     if kind not in FORMATS:
         raise ValueError(f"one of {FORMATS} is needed")
-    rows = rows.hint("rebalance", *partition_by) if partition_by else rows
+    rows = _together(rows, partition_by) if partition_by else rows
     rows.write.options(**({"header": "true"} if kind == "csv" else {}), **options).partitionBy(*partition_by).mode(mode).format(kind).save(path)
 
 

@@ -8,8 +8,10 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 
 from sparkloom.operators import nearest
+from sparkloom.sources import tables
 from sparkloom.streaming import visits
 
 
@@ -44,6 +46,16 @@ def test_meeting_blocks_are_neither_copied_nor_multiplied_whole():
     assert rows == n * 256 * 10 and most < 40 << 20
 
 
+def test_rows_of_one_partition_value_are_written_in_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "PIECE_ROWS", 100, raising=False)
+    rows = spark.range(1000).selectExpr("id", "CASE WHEN id < 700 THEN 'hot' WHEN id < 900 THEN 'b' WHEN id < 950 THEN 'c' END AS s")
+    tables.write(rows, str(tmp_path / "out"), "parquet", ("s",))
+    sizes = {str(f): pq.ParquetFile(f).metadata.num_rows for f in tmp_path.glob("out/*/*.parquet")}
+    found = tables.read(spark, str(tmp_path / "out"), "parquet", "id long, s string")
+    assert sorted(map(str, found.collect())) == sorted(map(str, rows.collect()))
+    assert max(sizes.values()) <= 400 and sum("s=hot" in f for f in sizes) > 1 and sum("s=c" in f for f in sizes) == 1
+
+
 class _Counted:
     """A state that counts the calls on it."""
 
