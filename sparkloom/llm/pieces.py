@@ -66,7 +66,7 @@ class Vocabulary:
             raise ValueError("pieces with a space mark after another character are not supported")
         rank = np.minimum(-np.array([model.get_score(i) for i in usable]), model.get_piece_size())  # a lone space mark has no rank of its own
         self.longest = max(map(len, words))
-        hashes = np.array([_hash(w) for w in words], np.uint64)
+        hashes = _hashes(words)
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], np.array(usable)[order]
         self.weights = -theta * np.log(rank[order] + 2)
@@ -83,7 +83,7 @@ class Vocabulary:
         self.table[np.flatnonzero(np.bincount(low, minlength=1 << FILTER_BITS) > 1)] = -2
         #: Whether a longer piece may begin with the characters of this hash.
         self.more = np.zeros(1 << FILTER_BITS, bool)
-        self.more[[_hash(head) & int(MASK) for head in {w[:n] for w in words for n in range(1, len(w))}]] = True
+        self.more[(_hashes(list({w[:n] for w in words for n in range(1, len(w))})) & MASK).astype(np.int64)] = True
 
     def look_up(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which hashes are pieces, the pieces' numbers, and which may go on to a longer piece."""
@@ -97,9 +97,13 @@ class Vocabulary:
         return fit[same], index[same], self.more[low]
 
 
-def _hash(word: str) -> int:
-    points = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    return int(mix64((mix64(points) * _powers(BASE, len(points))).sum(keepdims=True) + np.uint64(len(points)))[0])
+def _hashes(words: list[str]) -> np.ndarray:
+    """The hash of each word's characters; no word is empty."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    begins = np.cumsum(sizes) - sizes
+    powers = _powers(BASE, int(sizes.max(initial=0)))[np.arange(len(points)) - np.repeat(begins, sizes)]
+    return mix64(np.add.reduceat(mix64(points) * powers, begins) + sizes.astype(np.uint64))
 
 
 def _spread(values: np.ndarray, at: np.ndarray, n: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,8 +258,9 @@ class Lattice:
         firsts = np.concatenate(([0], np.cumsum(degree)))
         n_edges = int(firsts[-1])
         spot = np.concatenate([firsts[own] + rank for own, rank in zip(sources, spots)])
-        target, weight, count, offset = np.empty(n_edges, np.int64), np.empty(n_edges), np.empty(n_edges, np.int64), np.empty(n_edges, np.int64)
+        target, weight, count, offset = np.empty(n_edges, np.int64), np.empty(n_edges), np.empty(n_edges, np.int32), np.empty(n_edges, np.int32)
         target[spot], weight[spot], count[spot], offset[spot] = np.concatenate(targets), np.concatenate(weights), counts, np.cumsum(counts) - counts
+        del sources, targets, weights, ids, spots, spot, counts, place, left, by, after, node  # the most memory of a slice is held here
 
         # Log sums of all ways from each node to its word's end, level by level; the likeliest edge goes first.
         total = np.zeros(n_nodes)
@@ -377,19 +382,21 @@ class Lattice:
     def otherwise(self, start: int, used: list[tuple[int, ...]], key: int) -> tuple[tuple[int, ...], float]:
         """One way from ``start`` that is not in ``used``, and the log probability of all that are left after it."""
         left = _Left(self, start, used)
-        node, at, way = start, 0, []
+        node, at, way, taken = start, 0, [], 0.0
         while node:  # 0 is the end of every word
-            edges = range(self.first.item(node), self.first.item(node + 1))
-            mass = [left.mass(at, e) for e in edges]
+            first = self.first.item(node)
+            logs = self.log_p[first : self.first.item(node + 1)].tolist()
+            mass = left.masses[at] if at >= 0 else list(map(math.exp, logs))
             key, u = _next_uniform(key)
             u *= sum(mass)
-            for edge, m in zip(edges, mass):
+            for place, m in enumerate(mass):
                 u -= m
                 if u < 0 and m > 0:
                     break
-            way.append(edge)
-            node, at = self.target.item(edge), left.below[at].get(edge, -1) if at >= 0 else -1
-        taken = math.exp(sum(self.log_p.item(e) for e in way))
+            taken += logs[place]
+            way.append(first + place)
+            node, at = self.target.item(first + place), left.below[at].get(first + place, -1) if at >= 0 else -1
+        taken = math.exp(taken)
         if taken < 0.9 * left.total[0]:
             return tuple(way), math.log(left.total[0] - taken)
         rest = _Left(self, start, [*used, tuple(way)]).total[0]  # without cancellation
@@ -400,7 +407,7 @@ class _Left:
     """Probability of the ways through one word that are not in ``used``, by the tree of these."""
 
     def __init__(self, lattice: Lattice, start: int, used: list[tuple[int, ...]]):
-        self.log_p, self.below, nodes = lattice.log_p, [{}], [start]
+        self.below, nodes = [{}], [start]
         for way in used:
             at = 0
             for edge in way:
@@ -409,15 +416,15 @@ class _Left:
                     nodes.append(lattice.target.item(edge))
                     self.below.append({})
                 at = self.below[at][edge]
-        self.total = [0.0] * len(nodes)
+        self.total, self.masses = [0.0] * len(nodes), [[] for _ in nodes]  # masses: of each edge of a tree node, in order
         for at in range(len(nodes) - 1, -1, -1):  # a tree node stands before those below it
-            node = nodes[at]
-            self.total[at] = sum(self.mass(at, e) for e in range(lattice.first.item(node), lattice.first.item(node + 1)))
-
-    def mass(self, at: int, edge: int) -> float:
-        p = math.exp(self.log_p.item(edge))
-        below = self.below[at].get(edge) if at >= 0 else None
-        return p if below is None else p * self.total[below]
+            if not nodes[at]:
+                continue  # the end of a used way
+            first = lattice.first.item(nodes[at])
+            mass = list(map(math.exp, lattice.log_p[first : lattice.first.item(nodes[at] + 1)].tolist()))
+            for edge, below in self.below[at].items():
+                mass[edge - first] *= self.total[below]
+            self.masses[at], self.total[at] = mass, sum(mass)
 
 
 def _next_uniform(key: int) -> tuple[int, float]:

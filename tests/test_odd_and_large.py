@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from sparkloom.llm import pieces
 from sparkloom.operators import nearest
 from sparkloom.sources import tables
 from sparkloom.streaming import visits
@@ -122,3 +123,9 @@ def test_a_users_visits_take_few_calls_on_the_state():
     assert found[["n", "kinds", "nth"]].to_numpy().tolist() == [[3, 3, 1], [2, 2, 2]]
     assert found["ended"].tolist() == [pd.Timestamp("2024-01-01 00:10"), pd.Timestamp("2024-01-01 01:41")]
     assert _Counted.calls <= 10
+
+
+def test_words_hash_alone_as_together():
+    words = ["a", "▁the", "ünïcode", "𝄞x", "a"]
+    found = pieces._hashes(words)
+    assert found.tolist() == [int(pieces._hashes([w])[0]) for w in words] and len(set(found.tolist())) == 4
