@@ -28,7 +28,6 @@ rows; further columns are ignored.
 from __future__ import annotations
 
 import functools
-import itertools
 import math
 from collections.abc import Callable, Iterator
 
@@ -46,8 +45,10 @@ SPACE = "▁"
 BASE = 0xD1342543DE82EF95
 FILTER_BITS = 20
 MASK = np.uint64((1 << FILTER_BITS) - 1)
-#: Words kept from slice to slice have so many characters together, at about 100 bytes each.
-KEPT_CHARS = 1 << 20
+#: So many words are given to the library as one text.
+TOGETHER = 32
+#: Words kept from slice to slice have so many characters together, at about 85 bytes each.
+KEPT_CHARS = 3 << 18
 
 
 class Vocabulary:
@@ -65,15 +66,18 @@ class Vocabulary:
         if any(SPACE in w.lstrip(SPACE) for w in words):
             raise ValueError("pieces with a space mark after another character are not supported")
         rank = np.minimum(-np.array([model.get_score(i) for i in usable]), model.get_piece_size())  # a lone space mark has no rank of its own
-        self.longest = max(map(len, words))
+        self.longest, self.n_ids = max(map(len, words)), model.get_piece_size()
         hashes = _hashes(words)
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], np.array(usable)[order]
         self.weights = -theta * np.log(rank[order] + 2)
         self.byte_weight = -theta * np.log(len(usable) + 2.0)
         self.first_byte = model.piece_to_id("<0x00>")
+        #: The characters of each id; of a character's bytes only the first counts.
+        self.chars = np.array([len(model.id_to_piece(i)) for i in range(self.n_ids)])
+        self.chars[self.first_byte : self.first_byte + 256] = (np.arange(256) & 0xC0) != 0x80
         #: What a space mark without anything after it adds to a text's pieces.
-        self.lone_mark = model.encode("a ")[len(model.encode("a")) :]
+        self.lone_mark = np.array(model.encode("a ")[len(model.encode("a")) :], np.int32)
         if model.normalize("ﬁ ½") != SPACE + "ﬁ" + SPACE + "½":
             raise ValueError("models that change characters before they split are not supported")
         # One place for each low part of a hash: the only piece there, or a mark that there are several.
@@ -85,6 +89,16 @@ class Vocabulary:
         self.more = np.zeros(1 << FILTER_BITS, bool)
         self.more[(_hashes(list({w[:n] for w in words for n in range(1, len(w))})) & MASK).astype(np.int64)] = True
 
+    def encode(self, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of words whose characters are laid end to end, and how many ids each word has."""
+        begins, ends = np.cumsum(sizes) - sizes, np.cumsum(sizes)
+        cut = np.arange(len(sizes)) % TOGETHER == 0
+        cut[1:] |= points[ends[:-1] - 1] == ord(SPACE)  # a word of marks alone would be one with the next
+        line, cuts = points.tobytes().decode("utf-32-le").replace(SPACE, " "), [*begins[cut].tolist(), len(points)]
+        ids = self.model.encode_as_numpy([line[a + 1 : b] for a, b in zip(cuts, cuts[1:])], num_threads=1)
+        ids = np.concatenate([i if len(i) else self.lone_mark for i in ids])
+        return ids, np.diff(np.searchsorted(np.cumsum(self.chars[ids]), ends, "right"), prepend=0)
+
     def look_up(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which hashes are pieces, the pieces' numbers, and which may go on to a longer piece."""
         low = (found & MASK).astype(np.int64)
@@ -121,12 +135,14 @@ class Store:
     """Word lattices by the hash of the word, kept from slice to slice up to a bounded number of characters.
 
     Nodes are places in words, edges are pieces; the ends of all words are node 0. Arrays
-    grow at their ends, so a word's numbers stay as long as the store does.
+    grow at their ends, so a word's numbers stay until the store shrinks. An edge's ids
+    stand in ``pool``, which begins with every id at its own place; the bytes of
+    characters without a piece follow.
     """
 
-    NODES = {"first": np.int64, "log_plain": float, "log_left": float, "log_others": float, "p_first": float}
-    EDGES = {"target": np.int32, "log_p": float, "count": np.int32, "offset": np.int32}
-    WORDS = {"start": np.int64, "code_at": np.int64, "code_n": np.int32, "plain_at": np.int64, "plain_n": np.int32}
+    NODES = {"first": np.int64, "log_plain": float, "log_left": float, "log_others": float, "p_first": float, "owner": np.int32}
+    EDGES = {"target": np.int32, "log_p": float, "count": np.int8, "offset": np.int32}
+    WORDS = {"start": np.int64, "uses": np.int64, "code_at": np.int64, "code_n": np.int32, "plain_at": np.int64, "plain_n": np.int32}
     IDS = {"pool": np.int32, "codes": np.int32, "plains": np.int32}
 
     def __init__(self):
@@ -138,9 +154,58 @@ class Store:
         self.hashes, self.numbers, self.chars = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         self.sizes = dict.fromkeys(self.arrays, 0)
         # Node 0, and the bound of its edges.
-        for name, value in (("first", [0, 0]), ("log_plain", [0.0]), ("log_left", [-np.inf]), ("log_others", [-np.inf]), ("p_first", [1.0])):
+        for name, value in (("first", [0, 0]), ("log_plain", [0.0]), ("log_left", [-np.inf]), ("log_others", [-np.inf]), ("p_first", [1.0]), ("owner", [0])):
             self.append(name, np.array(value))
 
+    def shrink(self, most: int, n_ids: int) -> None:
+        """Keeps the words used most often, of those used again, up to ``most`` characters; older uses count half.
+
+        ``n_ids`` is the size of the vocabulary. Lattices made before may not be used after.
+        """
+        if not self.chars:
+            return
+        uses, owner = self.get("uses"), self.get("owner")
+        order = np.argsort(-uses, kind="stable")
+        fits = np.cumsum(np.bincount(owner[1:], minlength=len(uses))[order]) <= most
+        word = np.zeros(len(uses), bool)
+        word[order[fits]] = True
+        word &= uses > 1
+        node = word[owner]
+        node[0] = True
+        word_to, node_to = np.cumsum(word, dtype=np.int32) - 1, np.cumsum(node, dtype=np.int32) - 1
+        word, node = np.flatnonzero(word), np.flatnonzero(node)
+        first = self.get("first")[node]
+        degree = self.get("first")[node + 1] - first
+        ends = np.concatenate(([0], np.cumsum(degree)))
+        edge = np.repeat(first - ends[:-1], degree) + np.arange(int(ends[-1]))
+        # One array after the other, so that little is held twice.
+        self.put("first", ends)
+        self.put("owner", np.maximum(word_to[owner[node]], 0))
+        for name in ("log_plain", "log_left", "log_others", "p_first"):
+            self.put(name, self.get(name)[node])
+        for name in ("log_p", "count", "offset", "target"):
+            self.put(name, self.get(name)[edge])
+        self.put("target", node_to[self.get("target")])
+        offset = self.get("offset")
+        bare = np.flatnonzero(offset >= n_ids)
+        raw, at = _spread(self.get("pool"), offset[bare], self.get("count")[bare], np.arange(len(bare)))
+        offset[bare] = n_ids + at
+        self.put("pool", np.concatenate((self.get("pool")[:n_ids], raw)))
+        self.put("start", node_to[self.get("start")[word]])
+        self.put("uses", uses[word] >> 1)
+        for ids, n, begin in (("codes", "code_n", "code_at"), ("plains", "plain_n", "plain_at")):
+            self.put(n, self.get(n)[word])
+            values, bounds = _spread(self.get(ids), self.get(begin)[word], self.get(n), np.arange(len(word) + 1))
+            self.put(ids, values)
+            self.put(begin, bounds[:-1])
+        known = np.flatnonzero(np.isin(self.numbers, word))
+        self.hashes, self.numbers, self.chars = self.hashes[known], word_to[self.numbers[known]], len(node) - 1
+
+    def put(self, name: str, values: np.ndarray) -> None:
+        """Puts values, no more than there are, in an array's place."""
+        self.arrays[name][: len(values)] = values
+        self.sizes[name] = len(values)
+
     def append(self, name: str, values: np.ndarray, drop: int = 0) -> int:
         """Puts values at the end of an array, over its last ``drop`` ones; where they begin."""
         at, held = self.sizes[name] - drop, self.arrays[name]
@@ -196,20 +261,23 @@ class Lattice:
         if new.any():
             first = first[new]
             number[new] = store.name(distinct[new])
-            self._build(line, points, sums, inverse, begins[first], sizes[first], known)
-        self.words = number[which.ravel()]
+            self._build(points, sums, inverse, begins[first], sizes[first], known)
+        which = which.ravel()
+        store.get("uses")[number] += np.bincount(which, minlength=len(number))
+        self.words = number[which]
         self.starts = store.get("start")[self.words]
         for name in (*Store.NODES, *Store.EDGES, "pool"):
             setattr(self, name, store.get(name))
 
-    def _build(self, line: str, points: np.ndarray, sums: np.ndarray, inverse: np.ndarray, begins: np.ndarray, size: np.ndarray, known: Vocabulary) -> None:
+    def _build(self, points: np.ndarray, sums: np.ndarray, inverse: np.ndarray, begins: np.ndarray, size: np.ndarray, known: Vocabulary) -> None:
         """Adds words of a batch, given by where they begin and their sizes, to the store."""
         store = self.store
         chars = int(size.sum())
         begin = np.cumsum(size) - size
-        offset = np.arange(chars) - np.repeat(begin, size)
-        place = np.repeat(begins, size) + offset  # of each character in the text
-        left = np.repeat(size, size) - offset  # characters to the end of the word
+        owner = np.repeat(np.arange(len(size)), size)
+        offset = np.arange(chars) - begin[owner]
+        place = begins[owner] + offset  # of each character in the text
+        left = size[owner] - offset  # characters to the end of the word
         # Nodes by distance from the end, so that each level stands together; the ends are one node, 0.
         longest = int(size.max(initial=0))
         by = np.argsort(left.astype(np.int16) if longest < 1 << 15 else left, kind="stable")
@@ -240,14 +308,18 @@ class Lattice:
         if sources:
             covered[sources[0]] = True
         bare = np.flatnonzero(~covered[node[:chars]])
+        spelled = points[place]
         raw = [chr(p).encode() for p in points[place[bare]].tolist()]
         widths = np.array([len(b) for b in raw], np.int64)
         sources.append(node[bare])
         targets.append(node[after[bare]])
         weights.append(known.byte_weight * widths)
         n_plain = sum(map(len, ids))
-        pool = np.concatenate([*ids, known.first_byte + np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)])
-        counts = np.concatenate([np.ones(n_plain, np.int64), widths])
+        if not store.sizes["pool"]:
+            store.append("pool", np.arange(known.n_ids))
+        pool_at = store.append("pool", known.first_byte + np.frombuffer(b"".join(raw), np.uint8).astype(np.int32))
+        offsets = np.concatenate([*ids, pool_at + np.cumsum(widths) - widths])
+        counts = np.concatenate([np.ones(n_plain, np.int8), widths.astype(np.int8)])
 
         # Edges of a node stand together; each length adds at most one to a node, so places are counted, not sorted.
         degree = np.zeros(n_nodes, np.int64)
@@ -258,9 +330,10 @@ class Lattice:
         firsts = np.concatenate(([0], np.cumsum(degree)))
         n_edges = int(firsts[-1])
         spot = np.concatenate([firsts[own] + rank for own, rank in zip(sources, spots)])
-        target, weight, count, offset = np.empty(n_edges, np.int64), np.empty(n_edges), np.empty(n_edges, np.int32), np.empty(n_edges, np.int32)
-        target[spot], weight[spot], count[spot], offset[spot] = np.concatenate(targets), np.concatenate(weights), counts, np.cumsum(counts) - counts
-        del sources, targets, weights, ids, spots, spot, counts, place, left, by, after, node  # the most memory of a slice is held here
+        target, weight, count, offset = np.empty(n_edges, np.int64), np.empty(n_edges), np.empty(n_edges, np.int8), np.empty(n_edges, np.int32)
+        target[spot], weight[spot], count[spot], offset[spot] = np.concatenate(targets), np.concatenate(weights), counts, offsets
+        owner = owner[by]
+        del sources, targets, weights, ids, spots, spot, counts, offsets, place, left, by, after, node  # the most memory of a slice is held here
 
         # Log sums of all ways from each node to its word's end, level by level; the likeliest edge goes first.
         total = np.zeros(n_nodes)
@@ -298,7 +371,7 @@ class Lattice:
                 log_left[low:high] = np.logaddexp(log_others[low:high], own + log_left[after_])
 
         # Into the store: nodes and edges behind those that it has.
-        edges_at, pool_at = store.sizes["target"], store.append("pool", pool)
+        edges_at = store.sizes["target"]
         shift = store.sizes["log_p"], store.sizes["log_plain"] - 1
         store.append("first", edges_at + firsts[1:], drop=1)
         for name, values in (("log_plain", log_plain), ("log_left", log_left), ("log_others", log_others), ("p_first", p_first)):
@@ -306,14 +379,14 @@ class Lattice:
         store.append("target", np.where(target > 0, target + shift[1], 0))
         store.append("log_p", log_p)
         store.append("count", count)
-        store.append("offset", offset + pool_at)
+        store.append("offset", offset)
+        store.append("owner", owner + store.sizes["start"])
         store.append("start", starts + shift[1])
+        store.append("uses", np.zeros(len(size), np.int64))
         store.chars += chars
         # The library's pieces of each word, and those of the plain way.
-        spelled = [line[b + 1 : b + n].replace(SPACE, " ") for b, n in zip(begins.tolist(), size.tolist())]
-        codes = [c or known.lone_mark for c in known.model.encode(spelled, num_threads=1)]
-        n_codes = np.fromiter(map(len, codes), np.int64, len(codes))
-        at = store.append("codes", np.fromiter(itertools.chain.from_iterable(codes), np.int32, int(n_codes.sum())))
+        codes, n_codes = known.encode(spelled, size)
+        at = store.append("codes", codes)
         store.append("code_at", at + np.cumsum(n_codes) - n_codes)
         store.append("code_n", n_codes)
         self.first, self.target = store.get("first"), store.get("target")
@@ -511,10 +584,11 @@ class Samples:
             run = np.concatenate(([0.0], np.cumsum(log_w)))
             self.log_p[r] = run[bounds[1:]] - run[bounds[:-1]]
             mass = run[:-1] - run[bounds[:-1]][text] + left
+            at = np.flatnonzero((word >= turn[text]) & live[text] & ~np.isneginf(mass))
+            own, top = text[at], np.full(n_words, -np.inf)
             with np.errstate(divide="ignore", over="ignore"):
-                noise = np.log(-np.log(uniform(_joined(branch[text], word + (1 << 40)), 0)))
-            top = -np.logaddexp(-value[text], noise - mass)
-            top[(word < turn[text]) | ~live[text] | np.isneginf(mass)] = -np.inf
+                noise = np.log(-np.log(uniform(_joined(branch[own], word[at] + (1 << 40)), 0)))
+            top[at] = -np.logaddexp(-value[own], noise - mass[at])
             maxima.append(top)
             # The next set of each text, among all segmentations so far.
             best = np.full(n_texts, -np.inf)
@@ -586,51 +660,56 @@ class Samples:
             return np.where(np.isfinite(self.threshold), -np.expm1(-np.exp(gap)), 1.0)
 
 
+def _coded(batch: pa.RecordBatch, known: Vocabulary, store: Store, k: int, seed: int) -> pa.RecordBatch:
+    """The encoding of one slice; whatever else it needs is free again before the next."""
+    texts = [t or "" for t in batch.column(1).to_pylist()]
+    lattice = Lattice(texts, known, store)
+    empty = np.array([not t for t in texts])
+    n_codes = store.get("code_n")[lattice.words]
+    n_codes[np.repeat(empty, np.diff(lattice.bounds))] = 0
+    codes, code_bounds = _spread(store.get("codes"), store.get("code_at")[lattice.words], n_codes, lattice.bounds)
+    best = pa.ListArray.from_arrays(code_bounds.astype(np.int32), pa.array(codes))
+    ends = code_bounds.tolist()
+    decoded = known.model.decode([codes[i:j] for i, j in zip(ends, ends[1:])], num_threads=1)
+    keys = np.array([xxhash.xxh3_64_intdigest(f"{seed}/{row}") for row in batch.column(2).to_pylist()], np.uint64)
+    drawn = Samples(lattice, keys, k)
+    parts = [drawn.ids(r) for r in range(k)]
+    # Sample r of text t stands at row t * k + r of a k times longer list.
+    kept = drawn.drawn.T & ~(empty[:, None] & (np.arange(k) > 0))
+    values = np.concatenate([v for v, _ in parts])
+    base = np.cumsum([0] + [len(v) for v, _ in parts[:-1]])
+    low = np.stack([b[:-1] + s for (_, b), s in zip(parts, base)], axis=1)
+    size = np.stack([np.diff(b) for _, b in parts], axis=1)
+    size[empty], low[empty] = 0, 0
+    low, size = low[kept], size[kept]
+    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    ids = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(size))).astype(np.int32), pa.array(values[np.repeat(low, size) + inside], pa.int32()))
+    rows = np.concatenate(([0], np.cumsum(kept.sum(axis=1)))).astype(np.int32)
+    samples = pa.ListArray.from_arrays(rows, ids)
+    log_p, score = drawn.log_p.T.copy(), drawn.scores().T.copy()
+    log_p[empty], score[empty] = 0.0, 1.0
+    log_ps = pa.ListArray.from_arrays(rows, pa.array(log_p[kept]))
+    scores = pa.ListArray.from_arrays(rows, pa.array(score[kept]))
+    return pa.RecordBatch.from_arrays(
+        [
+            batch.column(0),
+            best,
+            pa.array(decoded, pa.string()),
+            samples,
+            log_ps,
+            scores,
+        ],
+        names=["id", "ids", "decoded", "samples", "log_p", "inclusion"],
+    )
+
+
 def _encoding(path: str, k: int, theta: float, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, store = vocabulary(path, theta), Store()
         for batch in slices(batches, 1, 256 << 10):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
             if store.chars > KEPT_CHARS:
-                store.clear()
-            lattice = Lattice(texts, known, store)
-            empty = np.array([not t for t in texts])
-            n_codes = store.get("code_n")[lattice.words]
-            n_codes[np.repeat(empty, np.diff(lattice.bounds))] = 0
-            codes, code_bounds = _spread(store.get("codes"), store.get("code_at")[lattice.words], n_codes, lattice.bounds)
-            best = pa.ListArray.from_arrays(code_bounds.astype(np.int32), pa.array(codes))
-            flat, ends = codes.tolist(), code_bounds.tolist()
-            decoded = known.model.decode([flat[i:j] for i, j in zip(ends, ends[1:])], num_threads=1)
-            keys = np.array([xxhash.xxh3_64_intdigest(f"{seed}/{row}") for row in batch.column(2).to_pylist()], np.uint64)
-            drawn = Samples(lattice, keys, k)
-            parts = [drawn.ids(r) for r in range(k)]
-            # Sample r of text t stands at row t * k + r of a k times longer list.
-            kept = drawn.drawn.T & ~(empty[:, None] & (np.arange(k) > 0))
-            values = np.concatenate([v for v, _ in parts])
-            base = np.cumsum([0] + [len(v) for v, _ in parts[:-1]])
-            low = np.stack([b[:-1] + s for (_, b), s in zip(parts, base)], axis=1)
-            size = np.stack([np.diff(b) for _, b in parts], axis=1)
-            size[empty], low[empty] = 0, 0
-            low, size = low[kept], size[kept]
-            inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            ids = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(size))).astype(np.int32), pa.array(values[np.repeat(low, size) + inside], pa.int32()))
-            rows = np.concatenate(([0], np.cumsum(kept.sum(axis=1)))).astype(np.int32)
-            samples = pa.ListArray.from_arrays(rows, ids)
-            log_p, score = drawn.log_p.T.copy(), drawn.scores().T.copy()
-            log_p[empty], score[empty] = 0.0, 1.0
-            log_ps = pa.ListArray.from_arrays(rows, pa.array(log_p[kept]))
-            scores = pa.ListArray.from_arrays(rows, pa.array(score[kept]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    best,
-                    pa.array(decoded, pa.string()),
-                    samples,
-                    log_ps,
-                    scores,
-                ],
-                names=["id", "ids", "decoded", "samples", "log_p", "inclusion"],
-            )
+                store.shrink(KEPT_CHARS // 2, known.n_ids)
+            yield _coded(batch, known, store, k, seed)
 
     return run
 
