@@ -29,6 +29,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints that nothing refers to any more.
+
+    It deletes them when the driver collects garbage, which a driver with little to do may put off
+    until a loop of small steps has filled the disk.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def placed(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` computed once and kept as a table in the shared checkpoint folder, and that table's folder.
 

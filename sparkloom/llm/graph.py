@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, released
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -40,6 +40,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         )
         changed = not moved.where("component < was").isEmpty()
         labels = moved.drop("was")
+        released(edges.sparkSession)
         if not changed:
             return labels
 
@@ -55,5 +56,6 @@ def tree_roots(parents: DataFrame) -> DataFrame:
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("further"))
         moved = cut(parents.join(up, "parent", "left").select("node", F.coalesce("further", "parent").alias("parent"), F.col("further").isNotNull().alias("moved")))
         parents = moved.drop("moved")
+        released(parents.sparkSession)
         if moved.where("moved").isEmpty():
             return parents.select("node", F.col("parent").alias("component"))

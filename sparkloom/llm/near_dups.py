@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces
+from .common import cut, pieces, released
 from .graph import connected_components, tree_roots
 from .shingles import mix64, shingle_sets
 
@@ -124,6 +124,7 @@ def near_duplicates(
     members = classes.select("rep", "n", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("_size")).where("_size > 1")
     live = cut(members.join(buckets.drop("_size"), "key"))
+    released(docs.sparkSession)
 
     # Not cut, so that the adaptive join with the texts sees its measured size.
     heads = (
@@ -136,6 +137,7 @@ def near_duplicates(
     # Only a table with repeated ids pays for an exchange of the sets that leaves one of equal ones.
     repeated = not signed.where("n > 0").groupBy("id").count().where("count > 1").isEmpty()
     sets = cut(sets.distinct() if repeated else sets)
+    released(docs.sparkSession)
     pivot_sets = sets.where("leads").select(F.col("rep").alias("pivot"), F.col("n").alias("n_pivot"), F.col("shingles").alias("others"))
 
     def linked(a: str, b: str, n_a: str, n_b: str) -> F.Column:
@@ -159,6 +161,7 @@ def near_duplicates(
         .where("comp <> comp_pivot")
         .select("key", "rep", "n", "pivot", "comp", "comp_pivot", F.expr("pivot = first and n = n_first").alias("tested"))
     )
+    released(docs.sparkSession)
     pairs = apart.where("not tested").select("rep", "n", "pivot", "comp", "comp_pivot").distinct()
     star_links = cut(with_pivot(pairs.join(sets.select("rep", "n", "shingles"), ["rep", "n"])).select(F.col("comp").alias("a"), F.col("comp_pivot").alias("b")).distinct())
     merged = connected_components(star_links)
@@ -176,6 +179,7 @@ def near_duplicates(
     shared = tokens.groupBy("shingle").agg(F.count("*").alias("_in")).where("_in > 1").select("shingle")
     common = tokens.join(shared, "shingle", "left_semi").groupBy(*own).agg(F.count("*").alias("c"))
     rest = cut(open_.join(common, own).where(100 * F.col("c") >= percent * F.col("n")))
+    released(docs.sparkSession)
     still = rest.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("key")
     rest = rest.join(still, "key", "left_semi").join(sets.select(*own, "shingles"), own)
     left = rest.select("key", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "comp", "c", "shingles")))
@@ -190,6 +194,7 @@ def near_duplicates(
         .distinct()
     )
     cross_links = cut(cross_links)
+    released(docs.sparkSession)
     if not cross_links.isEmpty():
         merged = connected_components(star_links.union(cross_links))
     final = renamed(roots.select("node", F.col("component").alias("comp")), "comp").unionByName(
